@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of about this many bytes of text.
 SLICE_BYTES = 8 << 20
+#: Temporary folders of applications without spark.checkpoint.dir.
+_OWN: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,10 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only where that is unset (local tests) a temporary folder takes its place.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app)
     if folder is None:
-        folder = tempfile.mkdtemp(prefix="vecharbor-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _OWN[app] = tempfile.mkdtemp(prefix="vecharbor-")
     return folder
 
 
@@ -53,7 +56,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         if values.nbytes <= limit:
             yield batch
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(values), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if held and held + size > limit:

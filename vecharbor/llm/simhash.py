@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_texts, materialize
+from .common import as_bytes, map_texts, materialize, slices
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -241,3 +241,41 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return sims.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """One row of ``docs`` for each component: that of the least doc_id; all columns stay.
+
+    A component without any doc_id keeps one row, and so do repeated rows.
+    """
+    columns = docs.columns
+    found = near_duplicates(docs, group_limit).where("doc_id <=> component_id").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    key = "__simhash_doc"
+    while key in columns:
+        key += "_"
+    fps = f"{key}_fps"
+    kept = found.select(F.col("doc_id").alias(key), F.col("fps").alias(fps))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(key)), "inner")
+    return _first_rows(joined, docs, fps)
+
+
+def _first_rows(joined: DataFrame, docs: DataFrame, fps: str) -> DataFrame:
+    """Of rows with one doc_id, the first of each kept fingerprint; rows come sorted by the join."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = object(), set()
+        for batch in slices(batches, "text"):
+            keep = []
+            ids = batch.column("doc_id").to_pylist()
+            wanted = batch.column(fps).to_pylist()
+            texts = as_bytes(batch.column("text"))
+            for doc_id, want, text in zip(ids, wanted, texts, strict=True):
+                if doc_id != now:
+                    now, taken = doc_id, set()
+                fp = int(np.uint64(fingerprint(text)).view(np.int64))
+                keep.append(fp in want and fp not in taken)
+                taken.add(fp)
+            yield batch.filter(pa.array(keep, type=pa.bool_())).select(names)
+
+    return joined.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, docs.schema)
