@@ -226,6 +226,17 @@ def star_components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _classes(docs: DataFrame, group_limit: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each row; ``root`` names the component by its least fingerprint."""
+    sims = materialize(with_fingerprints(docs), "simhash-fps")
+    least = sims.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    stars = star_components(links(least.select("fp"), group_limit))
+    rooted = least.join(stars, least.fp == stars.u, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return sims.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc_id, fp, component_id) of each row of ``docs`` (doc_id, text).
 
@@ -234,48 +245,50 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
     all doc_ids of the component are null). An empty table gives an empty result; columns
     other than doc_id and text are not read.
     """
-    sims = materialize(with_fingerprints(docs), "simhash-fps")
-    least = sims.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    stars = star_components(links(least.select("fp"), group_limit))
-    rooted = least.join(stars, least.fp == stars.u, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return sims.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _classes(docs, group_limit).drop("root")
 
 
 def one_of_each(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """One row of ``docs`` for each component: that of the least doc_id; all columns stay.
+    """One row of ``docs`` for each component: one with the least doc_id; all columns stay.
 
-    A component without any doc_id keeps one row, and so do repeated rows.
+    A component without any doc_id keeps one row too. The kept ids travel to the rows in one
+    shuffle by doc_id, each ahead of the rows with that id.
     """
-    columns = docs.columns
-    found = near_duplicates(docs, group_limit).where("doc_id <=> component_id").groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
-    key = "__simhash_doc"
-    while key in columns:
-        key += "_"
-    fps = f"{key}_fps"
-    kept = found.select(F.col("doc_id").alias(key), F.col("fps").alias(fps))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(key)), "inner")
-    return _first_rows(joined, docs, fps)
-
-
-def _first_rows(joined: DataFrame, docs: DataFrame, fps: str) -> DataFrame:
-    """Of rows with one doc_id, the first of each kept fingerprint; rows come sorted by the join."""
     names = docs.columns
+    first = (
+        _classes(docs, group_limit)
+        .where("doc_id <=> component_id")
+        .groupBy("root", "doc_id")
+        .agg(F.min("fp").alias("fp"))
+        .groupBy("doc_id")
+        .agg(F.collect_set("fp").alias("fps"))
+    )
+    tag, fps = (_unused(x, names) for x in ("fps_first", "fps"))
+    rows = docs.select("*", F.lit(1).alias(tag), F.lit(None).cast("array<bigint>").alias(fps))
+    marks = first.select(*("doc_id" if c == "doc_id" else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), F.lit(0).alias(tag), F.col("fps").alias(fps))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, taken = object(), set()
+        now, open_fps = object(), set()
         for batch in slices(batches, "text"):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", tag, fps))
             keep = []
-            ids = batch.column("doc_id").to_pylist()
-            wanted = batch.column(fps).to_pylist()
-            texts = as_bytes(batch.column("text"))
-            for doc_id, want, text in zip(ids, wanted, texts, strict=True):
+            for (doc_id, kind, marked), text in zip(zip(*columns, strict=True), as_bytes(batch.column("text")), strict=True):
                 if doc_id != now:
-                    now, taken = doc_id, set()
-                fp = int(np.uint64(fingerprint(text)).view(np.int64))
-                keep.append(fp in want and fp not in taken)
-                taken.add(fp)
+                    now, open_fps = doc_id, set()
+                if not kind:
+                    open_fps.update(marked)
+                    keep.append(False)
+                    continue
+                fp = int(np.uint64(fingerprint(text)).view(np.int64)) if open_fps else None
+                keep.append(fp in open_fps)
+                open_fps.discard(fp)
             yield batch.filter(pa.array(keep, type=pa.bool_())).select(names)
 
-    return joined.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, docs.schema)
+    return rows.unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id", tag).mapInArrow(run, docs.schema)
+
+
+def _unused(name: str, names: list[str]) -> str:
+    lower = {x.lower() for x in names}
+    while name in lower:
+        name += "_"
+    return name
