@@ -125,3 +125,11 @@ def crc_remainder(key: str | Column, mod: int) -> Column:
     """crc32 of the key's text, modulo ``mod``; null for a null key."""
     col = F.col(key) if isinstance(key, str) else key
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
+
+
+def unused(name: str, names: list[str]) -> str:
+    """``name``, or a like name that none of ``names`` is."""
+    lower = {x.lower() for x in names}
+    while name in lower:
+        name += "_"
+    return name

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_texts, materialize, slices
+from .common import as_bytes, map_texts, materialize, slices, unused
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -263,7 +263,7 @@ def one_of_each(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.collect_set("fp").alias("fps"))
     )
-    tag, fps = (_unused(x, names) for x in ("fps_first", "fps"))
+    tag, fps = (unused(x, names) for x in ("fps_first", "fps"))
     rows = docs.select("*", F.lit(1).alias(tag), F.lit(None).cast("array<bigint>").alias(fps))
     marks = first.select(*("doc_id" if c == "doc_id" else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), F.lit(0).alias(tag), F.col("fps").alias(fps))
 
@@ -285,10 +285,3 @@ def one_of_each(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
             yield batch.filter(pa.array(keep, type=pa.bool_())).select(names)
 
     return rows.unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id", tag).mapInArrow(run, docs.schema)
-
-
-def _unused(name: str, names: list[str]) -> str:
-    lower = {x.lower() for x in names}
-    while name in lower:
-        name += "_"
-    return name
