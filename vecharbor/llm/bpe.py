@@ -31,7 +31,7 @@ CACHE_PIECE_CHARS = 40
 
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\\s0-9a-z\xdf-\xf6\xf8-\u024f]+")
-_SPACE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = regex.compile(r"(?V1)[\s--[\x1c-\x1f]]+")
 
 
 def _byte_characters() -> list[str]:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash
-from .common import read
+from . import bpe, decontam, quality, simhash, toxicity
+from .common import crc_remainder, read
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -18,16 +18,34 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _decided(scored: DataFrame, mod: int, held: int, threshold: float) -> DataFrame:
+    """A row without doc_id is in no fold."""
+    held_out = F.coalesce(crc_remainder("doc_id", mod) == held, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", decontam.items_sha256(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return _decided(quality.scored(docs, model), 4, 2, quality.THRESHOLD)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return _decided(toxicity.scored(docs, model), 3, 1, toxicity.THRESHOLD)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -36,7 +54,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination,
+        op3_quality_classifier,
         op4_simhash_near_dedup,
+        op6_toxicity,
         op9_bpe,
     )
 }
