@@ -6,8 +6,8 @@ Presentation: the entropy of the child sequences it occurs with. Content: one le
 entropy of its text features (blocks of text) over the pages; a block that every page repeats
 has entropy one, a block of a single page zero. A node's importance is their weighted sum,
 multiplied by a prior that is zero where HTML or the names in class, id and role say what the
-branch is (menus, footers, side bars, forms, notices, adverts, comments). A path of too few
-pages on its host takes its importance from the tree merged over all hosts. Branches of low
+branch is (menus, footers, side bars, forms, notices, adverts, comments). The tree merged over all hosts is asked too, and the lower importance holds; a
+tree of too few pages says nothing. Branches of low
 importance are cut from each page, unless most of the page's text hangs on a branch that no
 element but a generic box marks; of what is left, articles (or the main element) are taken
 where a page has them.
@@ -29,7 +29,7 @@ from .common import as_texts, slices
 
 #: Pages that a style node must occur on before its host's own tree is asked.
 MIN_PAGES = 5
-THRESHOLD = 0.2
+THRESHOLD = 0.5
 CONTENT_SHARE = 0.9
 #: Low-importance nodes (host and path) that are broadcast; more are joined by host.
 BROADCAST_NODES = 200_000
@@ -309,7 +309,7 @@ def low_nodes(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = T
     merged = counts.groupBy("path", "kind", "feature").agg(F.sum("n").alias("n"))
     every = _importance(merged, "path").select("path", F.col("m").alias("all_m"), F.col("importance").alias("all_importance"))
     both = own.join(every, "path")
-    worth = F.when(F.col("m") >= min_pages, F.col("importance")).when(F.col("all_m") >= min_pages, F.col("all_importance")).otherwise(1.0)
+    worth = F.least(F.when(F.col("m") >= min_pages, F.col("importance")).otherwise(1.0), F.when(F.col("all_m") >= min_pages, F.col("all_importance")).otherwise(1.0))
     return both.where(worth < threshold).select("host", "path")
 
 
