@@ -88,7 +88,8 @@ def parse(x: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray,
         x[many] = _mix(x[many] + _mix(length[many].astype(np.uint64)))
         label = _labels(x, first).astype(np.int8)
         left = np.r_[np.int8(-1), label[:-1]]
-        right = np.r_[label[1:], np.int8(-1)]
+        # A text's last symbol starts no phrase, whatever text comes after.
+        right = np.r_[np.where(first[1:], np.int8(127), label[1:]), np.int8(127)]
         cut = np.flatnonzero(first | ((label > left) & (label > right)))
         length = np.diff(np.r_[cut, len(x)])
         place = (np.arange(len(x)) - np.repeat(cut, length)).astype(np.uint64)
