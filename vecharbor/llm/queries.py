@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_text, parsing, quality, simhash, toxicity
+from . import bpe, decontam, html_text, licenses, parsing, quality, sharding, simhash, token_counts, toxicity
 from .common import crc_remainder, read
 
 
@@ -44,12 +44,27 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
     return _decided(toxicity.scored(docs, model), 3, 1, toxicity.THRESHOLD)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    hist = token_counts.histogram(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.suffix_sums(hist)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"), vocabulary())
 
@@ -65,7 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_document_fingerprints,
         op3_quality_classifier,
         op4_simhash_near_dedup,
+        op5_license_scans,
         op6_toxicity,
+        op7_token_counts,
+        op8_sharding,
         op9_bpe,
         op10_html_extraction,
     )
@@ -74,7 +92,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Words: runs of digits, letters and anything beyond ASCII, A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in licenses.TEMPLATES.items())
+_LOWER_WORDS = r"regexp_extract_all(lower({0}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_GRAMS = "unnest(list_transform(range(1, len(w) - 3), lambda i: {'h': array_to_string(list_slice(w, i, i + 4), ' '), 'i': i}))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_scans": f"""
+WITH t0 AS (SELECT license, {_LOWER_WORDS.format("text")} AS w FROM (VALUES {_TEMPLATES}) AS v(license, text)),
+t1 AS (SELECT DISTINCT license, g.h AS h FROM (SELECT license, {_GRAMS} AS g FROM t0)),
+t AS (SELECT license, h, count(*) OVER (PARTITION BY license) AS n FROM t1),
+tc AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS s FROM t),
+d AS (SELECT doc_id, {_LOWER_WORDS.format("text")} AS w, left(lower(text), 1) AS c FROM documents WHERE text IS NOT NULL),
+d1 AS (SELECT doc_id, g.h AS h, g.i - 1 + CAST(NOT regexp_matches(c, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]') AS BIGINT) AS p FROM (SELECT doc_id, c, {_GRAMS} AS g FROM d)),
+hits AS (SELECT doc_id, p, h FROM d1 WHERE h IN (SELECT h FROM t1)),
+win AS (SELECT DISTINCT doc_id, s, p, h, unnest([p // s, p // s - 1 + CAST(p < 0 AS BIGINT)]) AS k FROM hits, (SELECT DISTINCT s FROM tc)),
+firsts AS (SELECT doc_id, s, k, min(p) AS p FROM win GROUP BY ALL),
+shared AS (SELECT doc_id, s, k, license, count(DISTINCT h) / any_value(n) AS containment FROM win JOIN tc USING (s, h) GROUP BY ALL)
+SELECT doc_id, license, max(containment) AS containment, CAST(min(p) AS BIGINT) AS first_word, count(*) AS n_windows
+FROM shared JOIN firsts USING (doc_id, s, k) WHERE containment >= 0.8 GROUP BY doc_id, license""",
     "op1_benchmark_decontamination": f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
