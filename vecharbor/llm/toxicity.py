@@ -26,7 +26,7 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from zlib import crc32
 
 import numpy as np
@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import as_texts, crc_remainder, keep_rows, map_texts
 
-MAX_TOXIC = 2000
-MAX_CLEAN = 4000
+MAX_TOXIC = 1500
+MAX_CLEAN = 3000
 #: Units of one training document, and units without the label to begin with, by hash.
-DOC_UNITS = 1500
-NEGATIVE_UNITS = 12_000
+DOC_UNITS = 1000
+NEGATIVE_UNITS = 10_000
 LANDMARKS = 240
 SPAN = 6
 DECAY = 0.6
@@ -48,7 +48,7 @@ ROUNDS = 4
 #: A unit with a letter put in counts this many times less than the unit.
 GAPPED_PARTS = 8
 THRESHOLD = 0.7
-CACHE_UNITS = 500_000
+CACHE_UNITS = 150_000
 
 _SYMBOLS = 29
 _EDGE, _OTHER = 27, 28
@@ -152,16 +152,17 @@ class Model:
 
 def _features(words: list[str], table: np.ndarray) -> np.ndarray:
     """Rows of normed counts times ``table``, in blocks."""
-    out = np.zeros((len(words), table.shape[1]))
-    for at in range(0, len(words), 500):
-        part = words[at : at + 500]
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    for at in range(0, len(words), 100):
+        part = words[at : at + 100]
         which, code, weight = subsequences(part)
         order = np.argsort(which, kind="stable")
         which, code, weight = which[order], code[order], weight[order]
         starts = np.searchsorted(which, np.arange(len(part)))
-        rows = np.add.reduceat(table[code] * weight[:, None], np.minimum(starts, len(code) - 1), axis=0)
+        rows = np.add.reduceat(table[code] * weight[:, None].astype(np.float32), np.minimum(starts, len(code) - 1), axis=0)
         out[at : at + len(part)] = np.where((np.bincount(which, minlength=len(part)) > 0)[:, None], rows, 0)
-    return out / _norms(words)[:, None]
+    out /= _norms(words)[:, None]
+    return out
 
 
 def _dense(words: list[str]) -> np.ndarray:
@@ -173,14 +174,15 @@ def _dense(words: list[str]) -> np.ndarray:
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
     """Squared-hinge machine by Newton steps; the last entry is the bias."""
-    x = np.c_[z, np.ones(len(z))]
+    x = np.c_[z, np.ones(len(z), np.float32)]
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-3
     for _ in range(30):
         active = y * (x @ w) < 1
-        xa = x[active] * weight[active, None]
-        step = np.linalg.solve(ridge + 2 * c * x[active].T @ xa, 2 * c * xa.T @ y[active])
+        near = x[active]
+        scaled = near * weight[active, None].astype(np.float32)
+        step = np.linalg.solve(ridge + 2 * c * (near.T @ scaled).astype(float), 2 * c * (scaled.T @ y[active]))
         if np.abs(step - w).max() < 1e-6:
             break
         w = step
@@ -203,8 +205,7 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
-    """Fit on (label, folded units) of documents."""
-    bags = [(y, sorted({u for u in units if u})) for y, units in bags]
+    """Fit on (label, distinct folded units) of documents."""
     bags = [(y, units) for y, units in bags if units]
     pos, neg = [u for y, u in bags if y], [u for y, u in bags if not y]
     if not pos or not neg:
@@ -224,7 +225,8 @@ def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
     val, vec = np.linalg.eigh(gram)
     keep = val > 1e-8 * val[-1]
     root = vec[:, keep] / np.sqrt(val[keep])
-    mapped = table @ root
+    mapped = (table @ root).astype(np.float32)
+    del table
     model = Model(unknown=unknown)
     for turn in range(ROUNDS):
         good, bad = sorted(toxic), sorted(set(harmless) - toxic.keys())
@@ -235,7 +237,7 @@ def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
         size = np.r_[np.sqrt([toxic[u] for u in good] + [n for _, n in gapped]), np.ones(len(bad))]
         size[:positive] *= len(bad) / size[:positive].sum()
         w = _svm(_features(words, mapped), y, size)
-        model.weight, model.bias = mapped @ w[:-1], float(w[-1])
+        model.weight, model.bias = (mapped @ w[:-1]).astype(float), float(w[-1])
         if turn == ROUNDS - 1:
             break
         # Harmless units that look toxic join the sample; toxic documents name further units.
@@ -249,6 +251,7 @@ def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
                 if d[at] > 0.8 or toxic.keys().isdisjoint(units):
                     toxic[mine[at]] = 1
     best = np.array([model.decide(u).max() for _, u in bags])
+    model.known = {}
     model.slope, model.shift = _logistic(np.minimum(best, 1), np.array([y for y, _ in bags], float))
     return model
 
@@ -313,13 +316,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3,
             units = []
             for text in as_texts(batch.column("text")):
                 folded = {fold(u) for u in raw_units(text)} - {""}
-                units.append(sorted(folded, key=lambda u: (crc32(u.encode()), u))[:DOC_UNITS])
+                units.append(" ".join(sorted(folded, key=lambda u: (crc32(u.encode()), u))[:DOC_UNITS]))
             return {"label": batch.column("label"), "units": units}
 
         return kernel
 
-    got = map_texts(rows, make, "label int, units array<string>").collect()
-    bags = sorted((r.label, r.units) for r in got)
+    got = map_texts(rows, make, "label int, units string").toArrow()
+    bags, one = [], {}
+    for y, units in sorted(zip(got.column("label").to_pylist(), got.column("units").to_pylist(), strict=True)):
+        # One string object for all occurrences of a unit.
+        bags.append((y, [one.setdefault(u, u) for u in units.split(" ") if u]))
+    del got, one
     # Repeated doc_ids give more texts than ids: of those, as many as the bounds allow.
     return train([b for y, n in ((0, most_clean), (1, most_toxic)) for b in [x for x in bags if x[0] == y][:n]], unknown)
 
@@ -329,7 +336,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = shared.value
+        own = replace(shared.value, known={})
 
         def kernel(batch: pa.RecordBatch) -> dict:
             return {"doc_id": batch.column("doc_id"), "score": own.scores(as_texts(batch.column("text")))}
@@ -344,7 +351,7 @@ def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        own = shared.value
+        own = replace(shared.value, known={})
         return lambda batch: (own.scores(as_texts(batch.column("text"))) < threshold).tolist()
 
     return keep_rows(docs, make)
