@@ -16,22 +16,21 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from tokenizers import Regex, Tokenizer
+from tokenizers.pre_tokenizers import Split
 
 from .common import as_texts, map_texts
 
-#: Pieces kept with their codes, per Python worker.
-CACHE_PIECES = 120_000
+#: Pieces kept with their codes, per Python worker, in each of two generations.
+CACHE_PIECES = 60_000
 CACHE_PIECE_CHARS = 40
 
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\\s0-9a-z\xdf-\xf6\xf8-\u024f]+")
-_SPACE = regex.compile(r"(?V1)[\s--[\x1c-\x1f]]+")
 
 
 def _byte_characters() -> list[str]:
@@ -55,11 +54,15 @@ class Encoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(pattern)
+        # Beyond common Latin letters, what is a letter, a number or lower case depends on the
+        # version of Unicode: those texts are normalised and cut by the file's own library.
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.splitter = Split(Regex(pattern), "removed", invert=True)
         self.latin = _LATIN if pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" else None
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.shown = _byte_characters()
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece."""
@@ -96,9 +99,7 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         if self.latin and _PLAIN.fullmatch(text):
             return self.latin.findall(text.lower())
-        text = _SPACE.sub(" ", unicodedata.normalize("NFC", text))
-        # Each character by itself: no word-final form of sigma.
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        return [piece for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def _coded(self, piece: str) -> tuple[bytes, str]:
         ids = self.merge(piece)
@@ -108,11 +109,13 @@ class Encoder:
         pieces = self.pieces(text)
         known = self.known
         if len(known) > CACHE_PIECES:
-            known.clear()
+            # Pieces that come again are taken over from the older generation.
+            self.older, known = known, {}
+            self.known = known
         long: dict[str, tuple[bytes, str]] = {}
         for p in set(pieces):
             if p not in known:
-                (known if len(p) <= CACHE_PIECE_CHARS else long)[p] = self._coded(p)
+                (known if len(p) <= CACHE_PIECE_CHARS else long)[p] = self.older.get(p) or self._coded(p)
         if long:
             both = [known.get(p) or long[p] for p in pieces]
         else:

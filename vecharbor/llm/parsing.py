@@ -170,7 +170,10 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("double").alias("d"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(rows.where("d IS NOT NULL").approxQuantile("d", probs, 0.2 / buckets))) if probs else []
-    binned = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="b", handleInvalid="keep").transform(rows)
+    if cuts:
+        binned = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="b", handleInvalid="keep").transform(rows)
+    else:
+        binned = rows.withColumn("b", F.lit(0))
     # Descending: the highest range is bucket 0; null ids come after all.
     top = len(cuts)
     bucket = F.when(F.col("d").isNull(), top + 1).otherwise(top - F.col("b").cast("int"))
