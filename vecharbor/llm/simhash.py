@@ -33,6 +33,8 @@ GROUP_LIMIT = 4096
 BLOCK_BITS = (16, 12, 9, 6, 5, 4)
 #: Node pairs of a frontier that are expanded at once.
 FRONTIER = 1 << 20
+#: Parts into which the members of one component are dealt when they learn its id.
+ROOT_SALTS = 16
 #: Hot group ids are broadcast up to this many.
 HOT_BROADCAST = 100_000
 
@@ -231,10 +233,16 @@ def _classes(docs: DataFrame, group_limit: int) -> DataFrame:
     sims = materialize(with_fingerprints(docs), "simhash-fps")
     least = sims.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     stars = star_components(links(least.select("fp"), group_limit))
-    rooted = least.join(stars, least.fp == stars.u, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "root", "component_id")
-    return sims.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    # Only linked fingerprints take part in joins by root; a root of many members is salted.
+    heads = stars.select(F.col("root").alias("fp")).distinct().select("fp", F.col("fp").alias("root"))
+    members = stars.select(F.col("u").alias("fp"), "root").unionByName(heads)
+    ids = members.join(least, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    salts = ids.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    linked = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(ROOT_SALTS)).cast("int")).join(salts, ["root", "salt"]).select("fp", "root", "component_id")
+    named = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # Read back from a table, both sides of the join are plain exchanges, so that the rows of a
+    # fingerprint with very many copies can be split over tasks.
+    return sims.join(materialize(named, "simhash-named"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
