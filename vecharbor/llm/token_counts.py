@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import as_texts, slices
 
 #: Lengths of one block of the suffix sums.
-BLOCK = 4096
+BLOCK = 128
 
 
 @cache
