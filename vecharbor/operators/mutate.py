@@ -9,6 +9,7 @@ Node status: 0 never touched, 1 live, 2 deleted.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,21 +50,29 @@ def record_fault(dims: int, key_cap: int, vector: str = "embedding", key: str =
     )
 
 
-def running(df: DataFrame, order: str, name: str, buckets: int = 64) -> DataFrame:
-    """``df`` with the running number of each row by ``order``, without one task for all rows.
+def running(df: DataFrame, order: str, name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` with the running number of each row by the numeric column ``order``.
 
-    Rows are numbered inside ranges of ``order``; each range starts at the sum of those before it.
+    Rows are numbered inside ranges of ``order``; each range starts at the sum of those before
+    it, so no task ranks all rows. The ranges' bounds are fixed numbers: a task that runs again
+    after the loss of an executor finds the same ranges.
     """
-    ranged = df.repartitionByRange(buckets, order).withColumn("__part", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in ranged.groupBy("__part").count().collect()}
-    base, total = {}, 0
-    for part in sorted(sizes):
-        base[part], total = total, total + sizes[part]
-    if not base:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    starts = F.create_map(*(F.lit(x) for item in base.items() for x in item))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn(name, inside + starts[F.col("__part")]).drop("__part")
+    if buckets is None:
+        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value, part = F.col(order).cast("double"), "__part"
+    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    ranged = df.withColumn("__v", value)
+    if cuts:
+        ranged = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__v", outputCol=part).transform(ranged).withColumn(part, F.col(part).cast("int"))
+    else:
+        ranged = ranged.withColumn(part, F.lit(0))
+    sizes = dict(ranged.groupBy(part).count().collect())
+    starts, total = [], 0
+    for i in range(len(cuts) + 1):
+        starts.append(total)
+        total += sizes.get(i, 0)
+    inside = F.row_number().over(Window.partitionBy(part).orderBy(order))
+    return ranged.withColumn(name, inside + F.get(F.array(*map(F.lit, starts)), F.col(part))).drop(part, "__v")
 
 
 def delete(nodes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
