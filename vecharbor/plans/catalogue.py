@@ -643,7 +643,7 @@ def _small_plane(spark: SparkSession, sf_dir: str, **options: object) -> Plane:
     return plane
 
 
-@query()
+@query(f"WITH {_pairs('int16', 'n.vec_id NOT IN (5, 6)')}, {_hits(10)} SELECT query_id, rank, node_id, {_ROUND}, 'r' || node_id AS key FROM h")
 def plane_search(spark, sf_dir):
     """Create, insert, delete, flush, open again and search."""
     plane = _small_plane(spark, sf_dir, precision="int16")
@@ -653,23 +653,72 @@ def plane_search(spark, sf_dir):
     return again.search(asked(spark, sf_dir), 10).select("query_id", "rank", "node_id", rounded(), F.col("key").cast("string").alias("key"))
 
 
-@query()
+@query(f"""WITH {_LEVELS}, en AS (SELECT node_id, level FROM lv ORDER BY level DESC, node_id LIMIT 1)
+SELECT 8 AS version, 'int8' AS precision, 64 AS dims, 64 AS layer0_cap, CAST(1000000 AS BIGINT) AS max_nodes, 16 AS key_cap, node_id AS entry_id, level AS entry_level,
+(SELECT count(*) FROM embeddings) AS id_high_water, CAST(0 AS BIGINT) AS watermark, true AS clean, false AS invalidated, CAST(1 AS BIGINT) AS write_epoch FROM en""")
 def plane_meta(spark, sf_dir):
     return _small_plane(spark, sf_dir).meta()
 
 
-@query()
+@query("SELECT vec_id AS seq, CASE WHEN vec_id < 100 THEN vec_id ELSE -1 END AS node_id, CASE WHEN vec_id < 100 THEN '' ELSE 'full' END AS code, CASE WHEN vec_id < 100 THEN '' ELSE 'plane is full' END AS reason FROM embeddings")
 def plane_full(spark, sf_dir):
     """A batch that runs a plane full: what landed and what did not."""
     plane = Plane.create(spark, workspace(spark, "plane"), DIMS, max_nodes=100)
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", F.lit(None).cast("binary").alias("key"))
     try:
-        return plane.insert_batch(rows)
+        out = plane.insert_batch(rows)
     except PlaneFault as fault:
-        return fault.outcome
+        out = fault.outcome
+    return out.select("seq", F.coalesce("node_id", F.lit(-1)).alias("node_id"), F.coalesce("code", F.lit("")).alias("code"), F.coalesce("reason", F.lit("")).alias("reason"))
 
 
-@query()
+@query("SELECT step, CAST(watermark AS BIGINT) AS watermark FROM (VALUES ('1 created', 0), ('2 flush 7', 7), ('3 flush', 7), ('4 flush 9', 9), ('5 opened', 9), ('6 invalidated', 0)) AS t(step, watermark)")
+def plane_watermarks(spark, sf_dir):
+    """The watermark moves only with a flush that names one, and reads zero once invalidated."""
+    plane = Plane.create(spark, workspace(spark, "plane"), DIMS, max_nodes=100)
+    seen = [("1 created", plane.watermark)]
+    for step, mark in (("2 flush 7", 7), ("3 flush", None), ("4 flush 9", 9)):
+        plane.flush(mark)
+        seen.append((step, plane.watermark))
+    plane = Plane.open(spark, plane.path)
+    seen.append(("5 opened", plane.watermark))
+    plane.invalidate()
+    seen.append(("6 invalidated", plane.watermark))
+    return spark.createDataFrame(seen, "step string, watermark bigint")
+
+
+@query("SELECT step, CAST(entry_id AS BIGINT) AS entry_id, entry_level FROM (VALUES ('1 empty', -1, -1), ('2 claimed', 0, 0), ('3 equal keeps', 0, 0), ('4 higher takes over', 236, 2), ('5 lower keeps', 236, 2), ('6 deleted', 469, 2), ('7 set by hand', 12, 8)) AS t(step, entry_id, entry_level)")
+def entry_rules(spark, sf_dir):
+    """Who is the entry point as nodes come and go: mirror writes under chosen ids."""
+    plane = Plane.create(spark, workspace(spark, "plane"), 2, max_nodes=1000)
+    seen: list[tuple] = []
+
+    def note(step: str) -> None:
+        seen.append((step, *(plane.entry_point or (-1, -1))))
+
+    def write(node_id: int) -> None:
+        plane.mirror(spark.createDataFrame([(node_id, 0, [1.0, 0.5], None)], "node_id bigint, seq bigint, embedding array<float>, key binary"))
+
+    note("1 empty")
+    for step, node_id in (("2 claimed", 0), ("3 equal keeps", 1), ("4 higher takes over", 236), ("5 lower keeps", 2)):
+        write(node_id)
+        note(step)
+    write(469)
+    plane.remove(spark.createDataFrame([(236, 0)], "node_id bigint, seq bigint"))
+    note("6 deleted")
+    plane.set_entry_point(12, 11)
+    note("7 set by hand")
+    return spark.createDataFrame(seen, "step string, entry_id bigint, entry_level int")
+
+
+@query("SELECT rank, CAST(node_id AS BIGINT) AS node_id FROM (VALUES (1, 4), (2, 2), (3, 3), (4, 1), (5, 0)) AS t(rank, node_id)")
+def total_order(spark, sf_dir):
+    """Hits in total order: negative distances first, ties by id, NaN after all."""
+    rows = [(0, 0, float("nan")), (0, 1, float("inf")), (0, 2, 0.5), (0, 3, 0.5), (0, 4, -0.001)]
+    return search.top(spark.createDataFrame(rows, search.HITS), 5).select("rank", "node_id")
+
+
+@query(f"WITH {_MIRROR} SELECT la.node_id, 1 AS status, coalesce(ke.key, '') AS key FROM la LEFT JOIN ke USING (node_id)")
 def stream_ingest(spark, sf_dir):
     """Mirror writes streamed from files, each batch once; the table after them."""
     from ..streaming.ingest import ingest
@@ -679,7 +728,7 @@ def stream_ingest(spark, sf_dir):
     plane = Plane.create(spark, workspace(spark, "plane"), DIMS, max_nodes=1_000_000, key_cap=16)
     stream = spark.readStream.schema("node_id bigint, seq bigint, embedding array<float>, key binary").parquet(source)
     ingest(plane, stream, workspace(spark, "progress")).awaitTermination()
-    return plane.nodes().select("node_id", "status", F.col("key").cast("string").alias("key"))
+    return plane.nodes().select("node_id", "status", F.coalesce(F.col("key").cast("string"), F.lit("")).alias("key"))
 
 
 @query()
@@ -687,20 +736,39 @@ def gaussian_mixture(spark, sf_dir):
     return sources.gaussian_mixture(spark, 1000, 32)
 
 
-@query()
-def fvecs_source(spark, sf_dir):
-    """Vectors written as records of a dimension and floats, and read back."""
+def _vector_file(spark: SparkSession, sf_dir: str, header: bool) -> str:
+    """The vectors in a file of records, by way of one writer: a fixture for the readers."""
     import numpy as np
 
-    path = workspace(spark, "vectors") + ".fvecs"
-    rows = read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(100).collect()
-    raw = b"".join(np.int32(DIMS).tobytes() + np.array(r.embedding, "<f4").tobytes() for r in rows)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    path = workspace(spark, "vectors")
+    raw = bytearray()
+    for r in read(spark, sf_dir, "embeddings").orderBy("vec_id").toLocalIterator():
+        raw += (np.int32(DIMS).tobytes() if header else b"") + np.array(r.embedding, "<f4").tobytes()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
-    stream.write(bytearray(raw))
+    stream.write(raw)
     stream.close()
-    return sources.read_fvecs(spark, path)
+    return path
+
+
+_EXPLODED = "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(CAST(embedding[i] AS DOUBLE), 6) AS value FROM embeddings, (SELECT unnest(range(1, 65)) AS i)"
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    rows = df.select("vec_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("value"))
+
+
+@query(_EXPLODED)
+def fvecs_source(spark, sf_dir):
+    """Vectors written as records of a dimension and floats, and read back."""
+    return _exploded(sources.read_fvecs(spark, _vector_file(spark, sf_dir, True)))
+
+
+@query(_EXPLODED)
+def raw_pool_source(spark, sf_dir):
+    """Vectors written as floats alone, and read back."""
+    return _exploded(sources.read_raw(spark, _vector_file(spark, sf_dir, False), DIMS))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
