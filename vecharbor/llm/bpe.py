@@ -26,7 +26,7 @@ from tokenizers.pre_tokenizers import Split
 from .common import as_texts, map_texts
 
 #: Pieces kept with their codes, per Python worker, in each of two generations.
-CACHE_PIECES = 60_000
+CACHE_PIECES = 200_000
 CACHE_PIECE_CHARS = 40
 
 _PLAIN = re.compile("[\x00-\x1b\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]*")
