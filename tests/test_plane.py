@@ -202,8 +202,8 @@ def test_coverage_choice_keeps_the_far_neighbour_that_nothing_covers():
 
 
 def test_route_choice_without_weight_is_the_plain_top():
-    assert graph.route_choice(np.arange(9.0), None, {}, 2)[0] == [0, 1, 2, 3]
-    kept, _ = graph.route_choice(np.array([0.1, 0.4]), None, {1: {0: 0.1}}, 4)
+    assert graph.route_choice(np.arange(9.0), {}, 2)[0] == [0, 1, 2, 3]
+    kept, _ = graph.route_choice(np.array([0.1, 0.4]), {1: {0: 0.1}}, 4)
     assert kept == [0]
 
 
@@ -240,7 +240,7 @@ def test_sql_functions(spark):
     from vecharbor.functions.registry import register
 
     register(spark)
-    row = spark.sql("SELECT cosine_distance(array(1f, 0f), array(0f, 1f)) AS d, quantize_int8(array(1f, -0.5f)) AS c, hnsw_level(236) AS l").first()
+    row = spark.sql("SELECT cosine_distance(array(1f, 0f), array(0f, 1f)) AS d, quantize_int8(array(1f, -0.5f)) AS c, graph_level(236) AS l").first()
     assert (row.d, row.c, row.l) == (1.0, [127, -64], 2)
 
 

@@ -38,4 +38,4 @@ def register(spark: SparkSession) -> None:
     mixed = f"({signed} ^ shiftrightunsigned({signed}, 33))"
     unit = f"(IF({mixed} < 0, double({mixed}) + 18446744073709551616D, double({mixed})) / 18446744073709551616D)"
     body = f"CAST(least({MAX_LEVEL}, floor(-ln(greatest({unit}, 2.2250738585072014E-308D)) / ln({LEVEL_M}D))) AS INT)"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION hnsw_level(id BIGINT) RETURNS INT RETURN {body}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION graph_level(id BIGINT) RETURNS INT RETURN {body}")

@@ -10,11 +10,9 @@ search serve as the oracle-checked path.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,7 +55,7 @@ def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti").select(*edges.columns)
 
 
-def truncated(edges: DataFrame, cap: int, key: str = "src") -> DataFrame:
+def truncated(edges: DataFrame, cap: int) -> DataFrame:
     """At most ``cap`` neighbours of each node, by their order."""
     return edges.where(F.col("pos") <= cap)
 
@@ -74,7 +72,7 @@ def unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
 # ---- neighbour choice ----
 
 
-def route_choice(near: np.ndarray, pair: np.ndarray, reach: dict[int, dict[int, float]], m: int, r: float = OPTIMIZE_ROUTING) -> tuple[list[int], list[tuple[int, int]]]:
+def route_choice(near: np.ndarray, reach: dict[int, dict[int, float]], m: int, r: float = OPTIMIZE_ROUTING) -> tuple[list[int], list[tuple[int, int]]]:
     """Candidates kept of those in ascending distance ``near``, and edges to drop.
 
     ``reach`` gives for a candidate its neighbours and their distances. A candidate is passed
@@ -146,7 +144,7 @@ def _adjacency(unit: np.ndarray, ids: np.ndarray, m: int, cap: int, r: float) ->
     for i in range(n):
         at = {int(x): p for p, x in enumerate(near_ids[i])}
         reach = {p: {at[y]: d for y, d in known[x].items() if y in at} for x, p in at.items()}
-        kept, _ = route_choice(near[i], None, reach, m, r) if r else (range(width), [])
+        kept, _ = route_choice(near[i], reach, m, r) if r else (range(width), [])
         for p in kept:
             j = int(near_ids[i, p])
             links[i][j] = links[j][i] = float(near[i, p])
@@ -306,7 +304,7 @@ def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFra
         pdf = pdf.sort_values(["distance", "dst"]).reset_index(drop=True)
         at = {int(x): i for i, x in enumerate(pdf["dst"])}
         reach = {i: {at[v["via"]]: v["hop"] for v in (a if a is not None else ()) if v["via"] in at} for i, a in enumerate(pdf["around"])}
-        kept, _ = route_choice(pdf["distance"].to_numpy(), None, reach, m, r)
+        kept, _ = route_choice(pdf["distance"].to_numpy(), reach, m, r)
         kept = pdf.iloc[kept]
         return pd.DataFrame({"src": kept["src"], "pos": range(1, len(kept) + 1), "dst": kept["dst"], "distance": kept["distance"]})
 
