@@ -1,5 +1,6 @@
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,23 @@ def test_kernel_bears_inserted_characters():
     assert min(bad[:4]) > max(good)
 
 
+def test_explaining_units_are_insults_not_words_that_copies_share():
+    fine = [f"word{i}" for i in range(200)]
+    copies = [["idiot", *fine[:30], "twin", "brother"]] * 9
+    pos = copies + [["idiot", *fine[i : i + 9]] for i in range(20)] + [["lowei" + x, *fine[i : i + 5]] for i, x in enumerate(("ab", "cd", "ef", "gh", "ij"))]
+    neg = [fine[i : i + 20] for i in range(0, 180, 2)]
+    found = toxicity._explaining(pos, neg)
+    assert "idiot" in found and {"loweiab", "loweiij"} <= found.keys() and not {"word1", "word40"} & found.keys()
+
+
+def test_bound_parts_the_labels():
+    slope, shift = toxicity._calibrated(np.array([-2.0, -1.0, 0.2, 0.9, 1.0, 1.0]), np.array([0, 0, 0, 1, 1, 1.0]))
+    score = 1 / (1 + np.exp(-(slope * np.array([0.2, 0.5, 0.9]) + shift)))
+    assert score[0] < 0.5 and score[1] < 0.7 < score[2]
+    for y in (np.zeros(3), np.ones(3)):
+        assert np.isfinite(toxicity._calibrated(np.array([0.0, 0.5, 1.0]), y)).all()
+
+
 def test_folding():
-    assert [toxicity.fold(w) for w in ("Idi-ot!", "m0r0n", "ÉTÉ", "123", "", "naïve", "Straße")] == ["idiot", "moron", "ete", "", "", "naive", "strasse"]
+    assert [toxicity.fold(w) for w in ("Idi-ot!", "m0r0n", "ÉTÉ", "123", "", "naïve", "Straße")] == ["idiot", "moron", "été", "", "", "naïve", "straße"]
     assert "idiot" in toxicity.raw_units("you i d i o t there")

@@ -1,6 +1,6 @@
 """Toxicity: a support vector machine with a gapped subsequence kernel over Nyström landmarks.
 
-Units. A sentence is read as its words, each folded to letters (accents off, look-alike digits
+Units. A sentence is read as its words, each folded to letters (lower case, look-alike digits
 and signs read as letters, other signs inside a word dropped); runs of single letters are also
 read joined. A unit is one such word between two boundary marks.
 
@@ -13,12 +13,14 @@ Landmarks. ``LANDMARKS`` units stand for the feature space: K(., L) K(L, L)^(-1/
 
 Training. Labels come per document. Its units inherit the label, and as most units of a toxic
 document are harmless, the machine and the units it calls toxic are found in turns (multiple
-instance learning), beginning with units that recur in toxic documents and never in others.
+instance learning), beginning with units, or stems of units, that explain the toxic documents
+and hardly occur in others.
 The labelled sample is bounded by ``MAX_TOXIC`` and ``MAX_CLEAN`` documents.
 
 Scoring. The decision is linear in subsequence counts, so it folds into one weight for each
-of the 29**3 subsequences: that table is broadcast. A document's score is the logistic of its
-highest unit decision, fitted on the sample's documents; beyond the margin it is level.
+of the subsequences: that table is broadcast. A document's score is the logistic of its
+highest unit decision, placed by the bound that parts the sample's documents best; beyond the
+margin it is level.
 """
 
 from __future__ import annotations
@@ -41,30 +43,36 @@ MAX_CLEAN = 3000
 #: Units of one training document, and units without the label to begin with, by hash.
 DOC_UNITS = 1000
 NEGATIVE_UNITS = 10_000
+HARD_UNITS = 4_000
+HARD_LANDMARKS = 60
 LANDMARKS = 240
 SPAN = 6
 DECAY = 0.6
 ROUNDS = 4
+#: Letters of a stem, and how much more frequent in toxic documents a candidate must be.
+STEM_LETTERS = (4, 10)
+LIFT = 25
 #: A unit with a letter put in counts this many times less than the unit.
 GAPPED_PARTS = 8
 THRESHOLD = 0.7
+BOUND_PLACE = 0.75
+LEAST_GAP = 0.1
 CACHE_UNITS = 150_000
 
-_SYMBOLS = 29
-_EDGE, _OTHER = 27, 28
+#: a to z, the edge, and classes of other letters by code point.
+_OTHERS = 11
+_EDGE, _SYMBOLS = 27, 28 + _OTHERS
 FEATURES = _SYMBOLS**3
 #: Characters read as letters inside a word that has letters.
 _ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
-#: Decompositions that NFD does not give.
-_FOLD = str.maketrans({"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ı": "i"})
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){3,}[^\W\d_](?!\S)")
 
 
 def fold(word: str) -> str:
-    """Letters of one word; other letters than a-z as themselves."""
+    """Letters of one word, in composed form and lower case."""
     word = word.lower()
     if not word.isascii():
-        word = "".join(c for c in unicodedata.normalize("NFKD", word).translate(_FOLD) if not unicodedata.combining(c))
+        word = unicodedata.normalize("NFC", word)
     if any(c.isalpha() for c in word):
         word = word.translate(_ALIKE)
     return "".join(filter(str.isalpha, word))
@@ -79,7 +87,7 @@ def raw_units(text: str) -> set[str]:
 
 
 def _symbols(word: str) -> list[int]:
-    return [_EDGE, *(ord(c) - 96 if "a" <= c <= "z" else _OTHER for c in word), _EDGE]
+    return [_EDGE, *(ord(c) - 96 if "a" <= c <= "z" else _EDGE + 1 + ord(c) % _OTHERS for c in word), _EDGE]
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,10 +174,11 @@ def _features(words: list[str], table: np.ndarray) -> np.ndarray:
 
 
 def _dense(words: list[str]) -> np.ndarray:
-    table = np.zeros((FEATURES, len(words)))
+    table = np.zeros((FEATURES, len(words)), np.float32)
     which, code, weight = subsequences(words)
     np.add.at(table, (code, which), weight)
-    return table / _norms(words)
+    table /= _norms(words).astype(np.float32)
+    return table
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -189,19 +198,47 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
     return w
 
 
-def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(label 1) given a decision, with smoothed targets (Platt)."""
-    pos, neg = y.sum(), len(y) - y.sum()
-    target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    x, w = np.c_[s, np.ones(len(s))], np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = x.T @ (x * (p * (1 - p))[:, None]) + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-4 * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(float(w[0]), 1e-3), float(w[1])
+def _calibrated(best: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the score's logistic, by documents' highest decisions and labels.
+
+    The bound is the decision that tells the labels apart with the least share of errors, at
+    ``BOUND_PLACE`` of the way across the gap it lies in; it scores ``THRESHOLD``. The far edge
+    of the gap scores 0.95, or, if it is narrow, a decision ``LEAST_GAP`` beyond the bound.
+    """
+    order = np.argsort(best, kind="stable")
+    d, y = best[order], y[order]
+    pos, neg = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+    # Errors if the bound lies before place i: label 1 below it, label 0 from it on.
+    lost = np.r_[0, np.cumsum(y)] / pos
+    false = (neg - np.r_[0, np.cumsum(1 - y)]) / neg
+    least = lost + false
+    least[:-1][np.r_[False, d[1:] == d[:-1]]] = np.inf
+    i = int(len(least) - 1 - np.argmin(least[::-1]))
+    low = d[i - 1] if i else d[0] - 1
+    high = d[i] if i < len(d) else d[-1] + 1
+    bound = low + BOUND_PLACE * (high - low)
+    at = np.log(THRESHOLD / (1 - THRESHOLD))
+    slope = (np.log(0.95 / 0.05) - at) / max(high - bound, LEAST_GAP)
+    return float(slope), float(at - slope * bound)
+
+
+def _landmarks(toxic: list[str], hard: list[str], clean: list[str]) -> list[str]:
+    """Half of them toxic units, common ones first; then harmless ones that look toxic; then any."""
+    half = LANDMARKS // 2
+    # A stem's units are alike: part of the landmarks spread over the list.
+    step = max(1, len(toxic) // half)
+    marks = dict.fromkeys(toxic[: half // 2] + toxic[half // 2 :: step][: half - half // 2])
+    marks.update(dict.fromkeys(hard[:half]))
+    marks.update(dict.fromkeys(clean[:half]))
+    return list(marks)[:LANDMARKS]
+
+
+def _nystroem(marks: list[str]) -> np.ndarray:
+    """Weights that turn subsequence counts into coordinates: the landmarks' table times K(L, L)^(-1/2)."""
+    table = _dense(marks)
+    val, vec = np.linalg.eigh((table.T @ table).astype(float))
+    keep = val > 1e-5 * val[-1]
+    return table @ (vec[:, keep] / np.sqrt(val[keep])).astype(np.float32)
 
 
 def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
@@ -211,26 +248,22 @@ def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
     if not pos or not neg:
         return Model(unknown=unknown)
     clean = set().union(*neg)
-    toxic = _explaining(pos, clean)
+    toxic = _explaining(pos, neg)
     if not toxic:
         return Model(unknown=unknown)
+    clean -= toxic.keys()
     by_hash = sorted(clean, key=lambda u: (crc32(u.encode()), u))
     harmless = by_hash[:NEGATIVE_UNITS]
     rest = by_hash[NEGATIVE_UNITS:]
-    half = LANDMARKS // 2
-    marks = list(toxic)[:half]
-    marks += by_hash[: LANDMARKS - len(marks)]
-    table = _dense(marks)
-    gram = table.T @ table
-    val, vec = np.linalg.eigh(gram)
-    keep = val > 1e-8 * val[-1]
-    root = vec[:, keep] / np.sqrt(val[keep])
-    mapped = (table @ root).astype(np.float32)
-    del table
+    # Letters are put only into insults that are common and whose beginning no harmless unit has.
+    begun, top = {u[: STEM_LETTERS[0]] for u in clean}, max(toxic.values())
+    common = sorted(u for u, n in toxic.items() if 4 * n >= top and u[: STEM_LETTERS[0]] not in begun)
+    hard: list[str] = []
     model = Model(unknown=unknown)
     for turn in range(ROUNDS):
+        mapped = _nystroem(_landmarks(list(toxic), hard, by_hash))
         good, bad = sorted(toxic), sorted(set(harmless) - toxic.keys())
-        gapped = [(g, toxic[u] / GAPPED_PARTS) for u in good for g in _gapped(u) if g not in clean]
+        gapped = [(g, toxic[u] / GAPPED_PARTS) for u in common for g in _gapped(u) if g not in clean]
         words = good + [g for g, _ in gapped] + bad
         positive = len(words) - len(bad)
         y = np.r_[np.ones(positive), -np.ones(len(bad))]
@@ -242,17 +275,20 @@ def train(bags: list[tuple[int, list[str]]], unknown: float = 0.0) -> Model:
             break
         # Harmless units that look toxic join the sample; toxic documents name further units.
         decided = model.decide(rest) if rest else np.zeros(0)
-        harmless = sorted({*harmless, *(rest[i] for i in np.argsort(-decided)[:3000] if decided[i] > -1)})
+        near = model.decide(harmless)
+        hard = [harmless[i] for i in np.argsort(-near)[:HARD_LANDMARKS] if near[i] > -0.9]
+        hard += [rest[i] for i in np.argsort(-decided)[:HARD_LANDMARKS] if decided[i] > -0.5]
+        harmless = sorted({*harmless, *(rest[i] for i in np.argsort(-decided)[:HARD_UNITS] if decided[i] > -1)})
         for units in pos:
             mine = [u for u in units if u not in clean and u not in toxic]
             if mine:
                 d = model.decide(mine)
                 at = int(d.argmax())
-                if d[at] > 0.8 or toxic.keys().isdisjoint(units):
+                if d[at] > (0 if toxic.keys().isdisjoint(units) else 0.8):
                     toxic[mine[at]] = 1
     best = np.array([model.decide(u).max() for _, u in bags])
     model.known = {}
-    model.slope, model.shift = _logistic(np.minimum(best, 1), np.array([y for y, _ in bags], float))
+    model.slope, model.shift = _calibrated(np.minimum(best, 1), np.array([y for y, _ in bags], float))
     return model
 
 
@@ -265,34 +301,56 @@ def _gapped(unit: str) -> list[str]:
     return [unit[:i] + chr(97 + (h >> 16) % 26) + unit[i:] for i in sorted(places)]
 
 
-def _explaining(pos: list[list[str]], clean: set[str]) -> dict[str, int]:
-    """Units that no clean document has and that together explain the toxic ones, most first.
+def _stems(unit: str) -> list[str]:
+    """Beginnings of a unit, and the unit itself with a closing mark."""
+    return [*(unit[:k] for k in range(STEM_LETTERS[0], min(len(unit), STEM_LETTERS[1]) + 1)), unit + "$"]
+
 
-    Greedy cover: each time the unit that the most documents not yet explained share. So the
-    words that copies of one document share are not mistaken for insults: the copies are
-    explained by the insult that other documents have too. Documents that share no unit with
-    another stay unexplained here.
+def _explaining(pos: list[list[str]], neg: list[list[str]]) -> dict[str, int]:
+    """Units that together explain the toxic documents, with how many hold each, most first.
+
+    Candidates are units and stems that are ``LIFT`` times as frequent in toxic documents as in
+    others. Greedy cover: each time the candidate that the most documents not yet explained
+    share. So the words that copies of one document share are not mistaken for insults: the
+    copies are explained by the insult that other documents have too. Documents that share
+    no candidate with another stay unexplained here.
     """
+    least = min(3, 1 + len(pos) // 20)
+    hashes = [np.fromiter({crc32(s.encode()) for u in units for s in _stems(u)}, np.uint32) for units in pos]
+    values, counts = np.unique(np.concatenate(hashes), return_counts=True)
+    often = set(values[counts >= least].tolist())
+    del hashes, values, counts
     where: dict[str, list[int]] = {}
     for i, units in enumerate(pos):
-        for u in units:
-            if u not in clean:
-                where.setdefault(u, []).append(i)
-    heap = [(-len(at), u) for u, at in where.items() if len(at) > 1 or len(pos) == 1]
+        for s in {s for u in units for s in _stems(u)}:
+            if crc32(s.encode()) in often:
+                where.setdefault(s, []).append(i)
+    elsewhere: dict[str, int] = {}
+    for units in neg:
+        for s in {s for u in units for s in _stems(u) if s in where}:
+            elsewhere[s] = elsewhere.get(s, 0) + 1
+    share = len(neg) / len(pos)
+    where = {s: at for s, at in where.items() if len(at) * share >= LIFT * (elsewhere.get(s, 0) + 0.5)}
+    heap = [(-len(at), -len(s), s) for s, at in where.items()]
     heapq.heapify(heap)
-    left, out = np.ones(len(pos), bool), {}
+    left, chosen = np.ones(len(pos), bool), {}
     while heap and left.any():
-        n, u = heapq.heappop(heap)
-        now = int(left[where[u]].sum())
+        n, size, s = heapq.heappop(heap)
+        now = int(left[where[s]].sum())
         if now != -n:
-            if now > 1:
-                heapq.heappush(heap, (-now, u))
+            if now >= least:
+                heapq.heappush(heap, (-now, size, s))
             continue
-        out[u] = len(where[u])
-        left[where[u]] = False
-    # Units that come with others all the time explain nothing more, but are as common.
-    common = max(3, max(out.values(), default=0) // 8)
-    out.update((u, len(at)) for u, at in where.items() if len(at) >= common)
+        chosen[s] = len(where[s])
+        left[where[s]] = False
+    # What comes with others all the time explains nothing more, but is as common.
+    common = max(3, max(chosen.values(), default=0) // 8)
+    chosen.update((s, len(at)) for s, at in where.items() if len(at) >= common)
+    out: dict[str, int] = {}
+    for units in pos:
+        for u in units:
+            if any(s in chosen for s in _stems(u)):
+                out[u] = out.get(u, 0) + 1
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
