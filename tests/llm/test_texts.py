@@ -225,6 +225,16 @@ def test_repeated_boxes_are_found_by_the_tree(spark):
     assert all(r.text == f"Only page {r.page_id} says so, at some length" for r in got)
 
 
+def test_tree_decides_inside_and_outside_articles(spark):
+    page = "<body><div class=q>All pages say this</div><div class=r><p>Own body {i} of this page, at some length</div><article class=x>Read this next</article><section class=z><p>More body {i}</section></body>"
+    split = "<body><article><p>First part {i} of the page</article><div class=more><p>Second part {i} of the page</div></body>"
+    rows = [(i, f"http://h{i % 2}.example/{i}", page.format(i=i)) for i in range(40)]
+    rows += [(i, f"http://s{i % 2}.example/{i}", split.format(i=i)) for i in range(40, 60)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = {i: f"Own body {i} of this page, at some length\nMore body {i}" if i < 40 else f"First part {i} of the page\nSecond part {i} of the page" for i in range(60)}
+    assert {r.page_id: r.text for r in got} == want
+
+
 def test_many_low_nodes_are_joined_by_host(spark, monkeypatch):
     rows = [(i, "http://h.example/x", "<div class=q>same</div><div class=r>own {i} text</div>".replace("{i}", str(i))) for i in range(9)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

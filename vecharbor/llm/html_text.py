@@ -9,8 +9,9 @@ multiplied by a prior that is zero where HTML or the names in class, id and role
 branch is (menus, footers, side bars, forms, notices, adverts, comments). The tree merged over all hosts is asked too, and the lower importance holds; a
 tree of too few pages says nothing. Branches of low
 importance are cut from each page, unless most of the page's text hangs on a branch that no
-element but a generic box marks; of what is left, articles (or the main element) are taken
-where a page has them.
+element but a generic box marks; all that is left is the text. Articles and main elements are
+nodes like others: names mark no main element and the tree may cut either, and what lies outside
+them stays unless the tree or a prior cuts it.
 """
 
 from __future__ import annotations
@@ -56,13 +57,14 @@ _IMPLIED = {
     "body": (("head",), ()),
 }
 #: Containers whose importance the tree decides.
-_BOXES = frozenset("div section ul ol dl table header center details fieldset figure span".split())
+_BOXES = frozenset("article main div section ul ol dl table header center details fieldset figure span".split())
 #: Words of class, id and role that name what is not the article.
 _CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social sidebar sidebars widget widgets menu menus navbar nav navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond replies related recommended recommendations pagination pager login search toolbar skip copyright legal disclaimer contentinfo complementary alert alertdialog dialog rail teaser teasers trending".split()
 )
 _CUES_OUTSIDE_ARTICLES = frozenset(("header", "banner", "masthead"))
 _NOT_CUES_AFTER = frozenset(("has", "with", "no", "without", "main", "article", "post", "entry"))
+#: Elements that names do not mark; of articles they do, whatever their size.
 _EXEMPT = frozenset("html body main article".split())
 
 _TOKEN = re.compile(
@@ -226,20 +228,12 @@ class Page:
             tag = self.tags[i]
             if cut[self.parent[i]] or tag in _NEVER or (tag == "header" and not self.in_article[i]):
                 cut[i] = True
-            elif tag not in _EXEMPT:
-                marked = self.cues[i] or (tag in _BOXES and self.paths[i] in low)
-                cut[i] = marked and 2 * self.size[i] <= total
-                if marked and not cut[i] and self.cues[i] and self._has_rival(i):
-                    cut[i] = True
             elif tag == "article" and self.cues[i]:
                 cut[i] = True
-        kept = [False] * n
-        for name in ("article", "main"):
-            for i in range(1, n):
-                kept[i] = not cut[i] and (kept[self.parent[i]] or self.tags[i] == name)
-            lines = self._lines(kept)
-            if lines:
-                return "\n".join(lines)
+            else:
+                named = self.cues[i] and tag not in _EXEMPT
+                marked = named or (tag in _BOXES and self.paths[i] in low)
+                cut[i] = marked and (2 * self.size[i] <= total or (named and self._has_rival(i)))
         return "\n".join(self._lines([not c for c in cut]))
 
     def _has_rival(self, node: int) -> bool:
