@@ -188,6 +188,14 @@ def test_encoding_matches_the_library(coders, text):
     check(coders, text)
 
 
+def test_capitals_whose_lower_case_lies_beyond_the_latin_range(coders):
+    capitals = [chr(c) for c in range(0xC0, 0x250) if any(ord(x) > 0x24F for x in chr(c).lower())]
+    assert len(capitals) == 24
+    for c in capitals:
+        check(coders, f"said {c}liyev, a{c}b {c} {c}{c}1")
+    check(coders, "İlham Əliyev said hello")
+
+
 def test_encoding_of_whole_documents(coders, docs, odd):
     for frame in (docs, odd):
         for r in frame.select("text").collect():

@@ -98,7 +98,10 @@ class Encoder:
 
     def pieces(self, text: str) -> list[str]:
         if self.latin and _PLAIN.fullmatch(text):
-            return self.latin.findall(text.lower())
+            lower = text.lower()
+            # Some capitals of the range have their lower case beyond it.
+            if lower.isascii() or _PLAIN.fullmatch(lower):
+                return self.latin.findall(lower)
         return [piece for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
     def _coded(self, piece: str) -> tuple[bytes, str]:
