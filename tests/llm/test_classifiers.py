@@ -39,6 +39,21 @@ def test_odd_rows_and_empty_tables(spark, docs, labels, odd, none, module, keep)
     assert module.fit(none, labels) is not None
 
 
+def test_a_doc_id_of_many_rows_does_not_crowd_out_others(spark, monkeypatch):
+    ids = [i for i in range(400) if crc32(str(i).encode()) % 12 == 0][:21]
+    hot, others = ids[0], ids[1:]
+    rows = [(hot, f"aaa {n % 60} of the same id") for n in range(120)] + [(i, f"zzz{i} other text") for i in others]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i != hot), 1) for i in ids] + [(999_999, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality.fit(docs, labels, most=20).prior >= 0.95
+    assert quality.labelled(docs, labels, "quality", 4, 2, 50).where("label = 1").count() == 20
+    assert quality.labelled(docs, labels, "quality", 4, 2, 50).count() == 50
+    assert quality.labelled(docs, labels, "quality", 4, 2, 1000).count() == 80
+    monkeypatch.setattr(toxicity, "train", lambda bags, unknown: bags)
+    bags = toxicity.fit(docs, labels, most_toxic=21, most_clean=5)
+    assert sum("zzz" in " ".join(units) for _, units in bags) == 20 and len(bags) == 21
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark, docs, labels):
     other = labels.withColumn("quality", F.when(crc_remainder("doc_id", 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, other)

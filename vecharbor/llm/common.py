@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of about this many bytes of text.
@@ -127,6 +128,23 @@ def crc_remainder(key: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(mod)
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame, *bounds: tuple[str, int]) -> DataFrame:
+    """(text, label) of labelled rows of ``docs``: for each (condition on label, n) at most n rows.
+
+    ``known`` has one (doc_id, label) for each doc_id. Repeated rows count once. The first text
+    of each doc_id comes before the second of any, then the hash of doc_id decides; so no doc_id
+    crowds out others, and all its texts are taken where the bound leaves room. Rows are chosen
+    by hashes alone; texts are read after that.
+    """
+    most = max(n for _, n in bounds)
+    with_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("h")).alias("place")
+    texts = with_hash.select("doc_id", "h").distinct().select("*", place).where(F.col("place") <= most)
+    rows = known.join(texts, "doc_id")
+    chosen = reduce(DataFrame.unionByName, (rows.where(c).orderBy("place", F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in bounds))
+    return with_hash.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "label")
+
+
 def unused(name: str, names: list[str]) -> str:
     """``name``, or a like name that none of ``names`` is."""
     lower = {x.lower() for x in names}

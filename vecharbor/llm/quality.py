@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_remainder, keep_rows, map_texts
+from .common import as_bytes, crc_remainder, keep_rows, labelled_texts, map_texts
 
 #: The bound of the labelled sample (rows), taken by hash of doc_id.
 MAX_TRAIN = 4000
@@ -99,15 +99,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int
     """(text, label) of at most ``most`` labelled rows outside the held-out fold, by hash of doc_id.
 
     Rows without a label or doc_id do not count; where labels of a doc_id differ, the mean
-    decides; a doc_id with several texts gives each of them.
+    decides; a doc_id with several texts gives each of them as far as the bound has room, one
+    text of every doc_id first.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", mod) != held))
         .groupBy("doc_id")
         .agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     )
-    chosen = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return labelled_texts(docs, known, ("true", most))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4, held: int = 2, most: int = MAX_TRAIN, unknown: float = 1.0) -> Model:
@@ -126,7 +126,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4
 
     got = map_texts(labelled(docs, labels, label, mod, held, most), make, "label int, at array<int>, rate array<float>").collect()
     got.sort(key=lambda r: (r.label, r["at"], r.rate))
-    got = got[:most]
     if not got:
         return Model(np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), unknown)
     rows = np.zeros((len(got), TERMS), np.float32)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, crc_remainder, keep_rows, map_texts
+from .common import as_texts, crc_remainder, keep_rows, labelled_texts, map_texts
 
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
@@ -363,11 +363,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3,
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", mod) != held))
         .groupBy("doc_id")
         .agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
-    first = (known.where(f"label = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean)))
-    chosen = next(first).unionByName(next(first))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    rows = labelled_texts(docs, known, ("label = 1", most_toxic), ("label = 0", most_clean))
 
     def make():
         def kernel(batch: pa.RecordBatch) -> dict:
@@ -385,8 +382,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3,
         # One string object for all occurrences of a unit.
         bags.append((y, [one.setdefault(u, u) for u in units.split(" ") if u]))
     del got, one
-    # Repeated doc_ids give more texts than ids: of those, as many as the bounds allow.
-    return train([b for y, n in ((0, most_clean), (1, most_toxic)) for b in [x for x in bags if x[0] == y][:n]], unknown)
+    return train(bags, unknown)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
