@@ -54,6 +54,15 @@ def test_a_doc_id_of_many_rows_does_not_crowd_out_others(spark, monkeypatch):
     assert sum("zzz" in " ".join(units) for _, units in bags) == 20 and len(bags) == 21
 
 
+def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
+    words = {"w" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(3000)}
+    docs = spark.createDataFrame([(0, " ".join(sorted(words)))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(0, 1)], "doc_id bigint, toxic int")
+    monkeypatch.setattr(toxicity, "train", lambda bags, unknown: bags)
+    [(label, units)] = toxicity.fit(docs, labels, mod=3, held=crc32(b"0") % 3 ^ 1)
+    assert label == 1 and len(units) == 3000 and set(units) == words
+
+
 def test_labels_of_the_held_out_fold_are_not_learned(spark, docs, labels):
     other = labels.withColumn("quality", F.when(crc_remainder("doc_id", 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, other)

@@ -40,8 +40,7 @@ from .common import as_texts, crc_remainder, keep_rows, labelled_texts, map_text
 
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
-#: Units of one training document, and units without the label to begin with, by hash.
-DOC_UNITS = 1000
+#: Units without the label to begin with, by hash.
 NEGATIVE_UNITS = 10_000
 HARD_UNITS = 4_000
 HARD_LANDMARKS = 60
@@ -357,7 +356,8 @@ def _explaining(pos: list[list[str]], neg: list[list[str]]) -> dict[str, int]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held: int = 1, most_toxic: int = MAX_TOXIC, most_clean: int = MAX_CLEAN, unknown: float = 0.0) -> Model:
     """Fit on a bounded number of labelled documents of each class outside the held-out fold, by hash.
 
-    Units are read on executors; of each document the ``DOC_UNITS`` of least hash come back.
+    Units are read on executors; all distinct units of each document come back, so training and
+    the bound's place see whole texts, as scoring does.
     """
     known = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_remainder("doc_id", mod) != held))
@@ -371,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3,
             units = []
             for text in as_texts(batch.column("text")):
                 folded = {fold(u) for u in raw_units(text)} - {""}
-                units.append(" ".join(sorted(folded, key=lambda u: (crc32(u.encode()), u))[:DOC_UNITS]))
+                units.append(" ".join(sorted(folded, key=lambda u: (crc32(u.encode()), u))))
             return {"label": batch.column("label"), "units": units}
 
         return kernel
