@@ -249,3 +249,11 @@ def test_cells_of_few_nodes(spark):
     centre = ivf.fit_cells(nodes, 8)
     queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
     assert ivf.search(ivf.with_cells(nodes, centre), queries, centre, 2, 9).count() == 6
+
+
+def test_beam_rounds_go_on_until_nothing_is_left(spark):
+    rows = [(i, 1, [math.cos(1.5 - i / 10), math.sin(1.5 - i / 10)]) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "node_id bigint, status int, embedding array<float>")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(11)], "src bigint, dst bigint")
+    asked = spark.createDataFrame([(0, [math.cos(0.4), math.sin(0.4)])], "query_id bigint, embedding array<float>")
+    assert graph.beam_rounds(nodes, edges, asked, nodes.where("node_id = 0"), 1, 1).first().node_id == 11

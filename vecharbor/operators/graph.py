@@ -311,8 +311,9 @@ def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFra
     return rows.groupBy("src").applyInPandas(run, "src bigint, pos int, dst bigint, distance double")
 
 
-def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, k: int, ef: int, rounds: int = 8) -> DataFrame:
-    """Beam search as joins: each round expands what is not yet expanded of the best ``ef``.
+def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, k: int, ef: int) -> DataFrame:
+    """Beam search as joins: each round expands what is not yet expanded of the best ``ef``,
+    until nothing is left to expand.
 
     Lineage is cut each round by a checkpoint in the shared folder. Visits a superset of the
     sequential beam's nodes.
@@ -325,7 +326,7 @@ def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: D
         return joined.select("query_id", "node_id", vectors.cosine_distance("q", "v").alias("distance"))
 
     visited = scored(queries.select("query_id").crossJoin(F.broadcast(start.select("node_id").limit(DESCENT_WIDTH)))).withColumn("done", F.lit(False)).checkpoint()
-    for _ in range(rounds):
+    while True:
         best = visited.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id")))
         frontier = best.where((F.col("rank") <= ef) & ~F.col("done")).select("query_id", "node_id").checkpoint()
         if frontier.isEmpty():
