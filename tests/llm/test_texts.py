@@ -77,12 +77,58 @@ def test_decontamination_matches_sql(spark, sf_dir):
     same(spark, sf_dir, queries.op1_benchmark_decontamination, queries.ORACLE_SQL["op1_benchmark_decontamination"])
 
 
-def test_many_templates_take_the_joined_way(docs, odd, none, monkeypatch):
-    want = {tuple(r) for r in licenses.scan(docs).collect()}
-    assert want and licenses.scan(none).count() == 0 and licenses.scan(odd).count() == 0
-    monkeypatch.setattr(licenses, "LITERAL_SHINGLES", 0)
-    assert {tuple(r) for r in licenses.scan(docs).collect()} == want
-    assert licenses.scan(docs, {"none": "too short"}).count() == 0
+def plain_scan(rows, texts, size=5, least=0.8):
+    """Licenses by containment in the windows of each distinct row, shingle by shingle."""
+    out = {}
+    known = {}
+    for name, text in texts.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        if grams:
+            known[name] = grams, 1 << (len(grams) - 1).bit_length()
+    for doc_id, text in {(d, t) for d, t in rows if t is not None}:
+        w = re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower())
+        grams = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        for name, (wanted, s) in known.items():
+            for k in range(-1, len(grams) // s + 1):
+                at = [p for p in range(max(k * s, 0), min((k + 2) * s, len(grams))) if grams[p] in wanted]
+                share = len({grams[p] for p in at}) / len(wanted)
+                if share >= least:
+                    best, first, n = out.get((doc_id, name), (0, 10**9, 0))
+                    out[doc_id, name] = max(best, share), min(first, at[0]), n + 1
+    return out
+
+
+def test_scans_match_a_plain_scan(spark, odd, none):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    long = " ".join(rng.choice(words) for _ in range(150))
+    texts = licenses.TEMPLATES | {"long": long, "short": "too few words"}
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    for i in range(120):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(3)]
+        some = [rng.choice(list(texts.values())) for _ in range(2)]
+        rows.append((rng.randint(100, 160), " ".join((parts[0], some[0], parts[1], some[1], parts[2]))))
+    half = licenses.TEMPLATES["GPL-3.0-notice"].split()
+    # Nulls, repeats, parts of one notice in rows of one id, and notices without an id.
+    rows += [*rows[-5:], (None, licenses.TEMPLATES["MIT"]), (7, licenses.TEMPLATES["MIT"]), (7, None), (8, " ".join(half[:14])), (8, "x " * 14 + " ".join(half[14:]))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for name in ("key", "h", "w", "ws", "s", "license"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = {(r.doc_id, r.license): (r.containment, r.first_word, r.n_windows) for r in licenses.scan(frame, texts).collect()}
+    assert got == plain_scan(rows, texts)
+    assert (8, "GPL-3.0-notice") not in got and (None, "MIT") in got and {n for _, n in got} >= {"long", "MIT"}
+    assert licenses.scan(none).count() == 0 and licenses.scan(odd).count() == 0
+    assert licenses.scan(frame, {"none": "too short"}).count() == 0
+
+
+def test_bands_retrieve_as_promised(spark):
+    """A template of one shingle, in windows full of other words: the worst case."""
+    rng = random.Random(6)
+    rows = [(i, " ".join((*(str(rng.random()) for _ in range(rng.randint(20, 40))), licenses.TEMPLATES["MIT"], *(str(rng.random()) for _ in range(40))))) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = licenses.scan(frame, {"MIT": licenses.TEMPLATES["MIT"]}).count()
+    assert got == 3000
 
 
 def test_altered_and_repeated_notices(spark):

@@ -102,14 +102,13 @@ WITH t0 AS (SELECT license, {_LOWER_WORDS.format("text")} AS w FROM (VALUES {_TE
 t1 AS (SELECT DISTINCT license, g.h AS h FROM (SELECT license, {_GRAMS} AS g FROM t0)),
 t AS (SELECT license, h, count(*) OVER (PARTITION BY license) AS n FROM t1),
 tc AS (SELECT *, CAST(pow(2, ceil(log2(n))) AS BIGINT) AS s FROM t),
-d AS (SELECT doc_id, {_LOWER_WORDS.format("text")} AS w, left(lower(text), 1) AS c FROM documents WHERE text IS NOT NULL),
-d1 AS (SELECT doc_id, g.h AS h, g.i - 1 + CAST(NOT regexp_matches(c, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]') AS BIGINT) AS p FROM (SELECT doc_id, c, {_GRAMS} AS g FROM d)),
-hits AS (SELECT doc_id, p, h FROM d1 WHERE h IN (SELECT h FROM t1)),
-win AS (SELECT DISTINCT doc_id, s, p, h, unnest([p // s, p // s - 1 + CAST(p < 0 AS BIGINT)]) AS k FROM hits, (SELECT DISTINCT s FROM tc)),
-firsts AS (SELECT doc_id, s, k, min(p) AS p FROM win GROUP BY ALL),
-shared AS (SELECT doc_id, s, k, license, count(DISTINCT h) / any_value(n) AS containment FROM win JOIN tc USING (s, h) GROUP BY ALL)
+d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER_WORDS.format("text")} AS w, left(lower(text), 1) AS c FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL),
+d1 AS (SELECT r, doc_id, g.h AS h, g.i - 1 + CAST(NOT regexp_matches(c, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]') AS BIGINT) AS p FROM (SELECT r, doc_id, c, {_GRAMS} AS g FROM d)),
+hits AS (SELECT r, doc_id, p, h FROM d1 WHERE h IN (SELECT h FROM t1)),
+win AS (SELECT DISTINCT r, doc_id, s, p, h, unnest([p // s, p // s - 1 + CAST(p < 0 AS BIGINT)]) AS k FROM hits, (SELECT DISTINCT s FROM tc)),
+shared AS (SELECT r, doc_id, k, license, count(DISTINCT h) / any_value(n) AS containment, min(p) AS p FROM win JOIN tc USING (s, h) GROUP BY r, doc_id, s, k, license)
 SELECT doc_id, license, max(containment) AS containment, CAST(min(p) AS BIGINT) AS first_word, count(*) AS n_windows
-FROM shared JOIN firsts USING (doc_id, s, k) WHERE containment >= 0.8 GROUP BY doc_id, license""",
+FROM shared WHERE containment >= 0.8 GROUP BY doc_id, license""",
     "op1_benchmark_decontamination": f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format("text")}, []) AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
