@@ -151,23 +151,45 @@ def test_suffix_sums(spark):
         assert (r.docs_at_least, r.tokens_at_least, r.docs_total, r.tokens_total) == (len(over), sum(over), len(lengths), sum(lengths))
         assert r.truncated_total == sum(min(x, r.n_tokens) for x in lengths)
         assert r.share_below == (len(lengths) - len(over)) / len(lengths)
-    for r in token_counts.at_limits(sums, [0, 1, 4, 4000, 10_000]).collect():
+    limits = [0, 1, 4, 4000, 10_000]
+    got = token_counts.at_limits(hist, limits).collect()
+    assert sorted(r.limit for r in got) == limits
+    for r in got:
         assert (r.docs_over, r.tokens_kept) == (sum(x > r.limit for x in lengths), sum(min(x, r.limit) for x in lengths))
-    ordered = sorted(lengths)
-    for r in token_counts.quantiles(sums, [0.1, 0.5, 1.0]).collect():
+    ordered, shares = sorted(lengths), [0.1, 0.5, 1.0, 1 / 3]
+    got = token_counts.quantiles(hist, shares).collect()
+    assert sorted(r.share for r in got) == sorted(shares)
+    for r in got:
         assert r.n_tokens == ordered[int(np.ceil(r.share * len(lengths))) - 1]
 
 
+def test_report_answers_limits_and_quantiles(spark):
+    rng = random.Random(3)
+    lengths = [int(rng.expovariate(1 / 300)) for _ in range(997)] + [50_000] * 3
+    hist = spark.createDataFrame(list(Counter(lengths).items()), "n_tokens bigint, n_docs bigint")
+    got = {r.n_tokens: r for r in token_counts.report(hist).collect()}
+    assert got.keys() == set(lengths) | set(token_counts.LIMITS) and {n for n, r in got.items() if r.is_limit} == set(token_counts.LIMITS)
+    ordered = sorted(lengths)
+    want = {}
+    for share in token_counts.SHARES:
+        want.setdefault(next(n for k, n in enumerate(ordered, 1) if k >= share * len(ordered)), []).append(share)
+    assert {n: r.quantiles for n, r in got.items() if r.quantiles} == want
+    for n, r in got.items():
+        assert (r.n_docs, r.docs_over, r.tokens_over) == (lengths.count(n), sum(x > n for x in lengths), sum(x for x in lengths if x > n))
+        assert r.truncated_total == sum(min(x, n) for x in lengths)
+
+
 def test_histogram_matches_the_library(spark, docs, sf_dir, odd, none):
     import public_tokenizers as public
 
     path = queries.vocabulary("byte_bpe_50k.tiktoken")
     coder = token_counts._encoding(path, public.PATTERN)
     want = Counter(len(coder.encode_ordinary(r.text or "")) for r in docs.select("text").collect())
-    got = {r.n_tokens: r.n_docs for r in queries.op7_token_counts(spark, sf_dir).collect()}
+    got = {r.n_tokens: r.n_docs for r in queries.op7_token_counts(spark, sf_dir).collect() if r.n_docs}
     assert got == want
     assert token_counts.histogram(odd, path, public.PATTERN).agg(F.sum("n_docs")).first()[0] == odd.count()
     assert token_counts.suffix_sums(token_counts.histogram(none, path, public.PATTERN)).count() == 0
+    assert token_counts.report(token_counts.histogram(none, path, public.PATTERN)).count() == 0
 
 
 # ---- sharding ----

@@ -58,7 +58,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     hist = token_counts.histogram(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return token_counts.suffix_sums(hist)
+    return token_counts.report(hist)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

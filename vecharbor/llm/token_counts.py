@@ -4,24 +4,28 @@ Documents are counted by encoded length, first in each task, so the shuffle carr
 task and length. Suffix sums over the histogram then answer, for every context limit, how many
 documents and tokens reach it, what is left when longer texts are truncated, and quantiles.
 The sums run in two levels, over blocks of lengths and inside each block, so no task holds more
-than a block of lengths or the list of blocks.
+than a block of lengths or the list of blocks. Limits that no document's length equals join the
+histogram as lengths of no documents; so limits and quantiles need no join of their own.
 """
 
 from __future__ import annotations
 
 import base64
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_texts, slices
+from .common import as_texts, materialize, slices
 
 #: Lengths of one block of the suffix sums.
 BLOCK = 128
+#: Context limits and quantiles that the report answers.
+LIMITS = tuple(1 << k for k in range(7, 21))
+SHARES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 1.0)
 
 
 @cache
@@ -37,7 +41,8 @@ def histogram(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(n_tokens, n_docs): documents of each encoded length.
 
     ``path`` names a file of byte-pair ranks on every executor, ``pattern`` its pre-tokeniser.
-    Null counts as empty: length zero. Texts are encoded whole.
+    Null counts as empty: length zero. Texts are encoded whole, however long. Repeated rows count
+    each; an empty table gives no rows; columns other than text are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +59,8 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     """For each length that occurs: documents and tokens of at least it, and truncated totals.
 
     n_tokens, n_docs, docs_at_least, tokens_at_least, docs_total, tokens_total, truncated_total
-    (tokens left if texts are cut at n_tokens), share_below (of documents that are shorter).
+    (tokens left if texts are cut at n_tokens), share_below (of documents that are shorter);
+    further columns of ``hist`` stay.
     """
     part = hist.withColumn("block", F.floor(F.col("n_tokens") / block)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = part.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
@@ -69,7 +75,8 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     inside = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = part.withColumn("d", F.sum("n_docs").over(inside)).withColumn("t", F.sum("tokens").over(inside)).join(carried, "block")
-    out = summed.select("n_tokens", "n_docs", (F.col("d") + F.col("docs_later")).alias("docs_at_least"), (F.col("t") + F.col("tokens_later")).alias("tokens_at_least"), "docs_total", "tokens_total")
+    more = [c for c in hist.columns if c not in ("n_tokens", "n_docs")]
+    out = summed.select("n_tokens", "n_docs", *more, (F.col("d") + F.col("docs_later")).alias("docs_at_least"), (F.col("t") + F.col("tokens_later")).alias("tokens_at_least"), "docs_total", "tokens_total")
     return out.select(
         "*",
         (F.col("tokens_total") - F.col("tokens_at_least") + F.col("n_tokens") * F.col("docs_at_least")).alias("truncated_total"),
@@ -77,19 +84,35 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """Answers for any context limits, also of lengths that no document has: limit, docs_over, tokens_kept."""
-    spark = sums.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit bigint")
-    least = sums.join(F.broadcast(asked), F.col("n_tokens") > F.col("limit")).groupBy("limit").agg(F.min(F.struct("n_tokens", "docs_at_least", "tokens_at_least")).alias("s"))
-    total = sums.agg(F.max("tokens_total").alias("tokens_total"))
-    both = asked.join(least, "limit", "left").join(F.broadcast(total), F.lit(True), "left")
-    over, held = F.coalesce("s.docs_at_least", F.lit(0)), F.coalesce("s.tokens_at_least", F.lit(0))
-    return both.select("limit", over.alias("docs_over"), (F.coalesce("tokens_total", F.lit(0)) - held + F.col("limit") * over).alias("tokens_kept"))
+def report(hist: DataFrame, limits: Iterable[int] = LIMITS, shares: Iterable[float] = SHARES) -> DataFrame:
+    """Suffix sums at each length that occurs and at each of ``limits``, with quantiles.
+
+    Beside the columns of ``suffix_sums``: docs_over and tokens_over (of documents that are longer
+    than n_tokens), is_limit, and quantiles (those of ``shares`` whose least length, that at least
+    the share of documents does not exceed, is n_tokens). A length that no document has has n_docs
+    0. ``hist`` is written once, so documents are encoded once. An empty histogram gives no rows.
+    """
+    hist = materialize(hist, "lengths")
+    asked = hist.limit(1).select(F.explode(F.array(*(F.lit(int(x)).cast("bigint") for x in limits))).alias("n_tokens"), F.lit(0).cast("bigint").alias("n_docs"), F.lit(True).alias("asked"))
+    both = hist.withColumn("asked", F.lit(False)).unionByName(asked).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"), F.max("asked").alias("is_limit"))
+    sums = suffix_sums(both)
+    below = F.col("docs_total") - F.col("docs_at_least")
+    upto = below + F.col("n_docs")
+    # The same comparison on both sides of a length, so that each share falls to one length.
+    reached = F.filter(F.array(*(F.lit(float(x)) for x in shares)), lambda x: (upto >= x * F.col("docs_total")) & (below < x * F.col("docs_total")))
+    return sums.select(
+        "*",
+        (F.col("docs_at_least") - F.col("n_docs")).alias("docs_over"),
+        (F.col("tokens_at_least") - F.col("n_tokens") * F.col("n_docs")).alias("tokens_over"),
+        reached.alias("quantiles"),
+    )
+
+
+def at_limits(hist: DataFrame, limits: Iterable[int]) -> DataFrame:
+    """limit, docs_over and tokens_kept (if longer texts are cut there) for any context limits."""
+    return report(hist, limits).where("is_limit").select(F.col("n_tokens").alias("limit"), "docs_over", F.col("truncated_total").alias("tokens_kept"))
 
 
-def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+def quantiles(hist: DataFrame, shares: Iterable[float]) -> DataFrame:
     """For each share, the least length that at least that share of documents does not exceed."""
-    asked = sums.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    upto = sums.withColumn("upto", F.col("docs_total") - F.col("docs_at_least") + F.col("n_docs"))
-    return upto.join(F.broadcast(asked), F.col("upto") >= F.col("share") * F.col("docs_total")).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return report(hist, [0], shares).select(F.explode("quantiles").alias("share"), "n_tokens")
