@@ -44,6 +44,82 @@ def test_phrases_are_short_and_cover_the_text():
     assert sizes[0] == len(x) and sizes[-1] == 1 and all(a > b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+FULL = (1 << 64) - 1
+
+
+def plain_mix(x):
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> 33)) * factor & FULL
+    return x ^ (x >> 33)
+
+
+def plain_levels(text):
+    """Names of a text's phrases, level by level, symbol by symbol."""
+    x = [plain_mix(ord(c) + 1) for c in text]
+    levels = [x]
+    while True:
+        runs = []
+        for s in x:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        x = [s if n == 1 else plain_mix((s + plain_mix(n)) & FULL) for s, n in runs]
+        label = x
+        for _ in range(4):
+            new = []
+            for i, s in enumerate(label):
+                differ = s ^ label[i - 1] if i else 1
+                place = (differ & -differ).bit_length() - 1
+                new.append(2 * place + (s >> place & 1))
+            label = new
+        assert all(a != b for a, b in zip(label, label[1:]))
+        # A phrase starts at each local maximum; the last symbol starts none.
+        cuts = [i for i in range(len(x)) if i == 0 or (i < len(x) - 1 and label[i - 1] < label[i] > label[i + 1])]
+        names = []
+        for a, b in zip(cuts, [*cuts[1:], len(x)]):
+            total = sum(plain_mix(s ^ (k * 0xFF51AFD7ED558CCD & FULL)) for k, s in enumerate(x[a:b])) + (b - a)
+            names.append(plain_mix(total & FULL))
+        levels.append(names)
+        if len(names) == 1:
+            return levels
+        x = names
+
+
+def plain_fingerprint(text):
+    """16-bit values of 64 bins: of the names of level 2 and above and the whole text's name, the least in each bin."""
+    levels = plain_levels(text)
+    least = [None] * 64
+    for name in {n for at, names in enumerate(levels) if at >= 2 or (at and len(names) == 1) for n in names}:
+        h = plain_mix(name)
+        v = min(h >> 20 & 0xFFFFFFFF, 0xFFFFFFFE)
+        if least[h >> 58] is None or v < least[h >> 58]:
+            least[h >> 58] = v
+    return [0xFFFF if v is None else min(v & 0xFFFF, 0xFFFE) for v in least]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab c", min_size=1, max_size=40) | st.text(min_size=1, max_size=200))
+def test_phrases_match_a_plain_parse(text):
+    x = np.array([ord(c) for c in text], np.uint32)
+    assert [names.tolist() for _, names, _ in parsing.parse(x, np.array([0]))] == plain_levels(text)
+    assert parsing.fingerprints([text])[0].tolist() == plain_fingerprint(text)
+
+
+def test_a_hot_id_is_dealt_over_buckets(spark):
+    """Half of all rows under one id, many without an id: still each row beside the next."""
+    rows = [(5, f"hot {i}") for i in range(200)] + [(None, f"none {i}") for i in range(90)] + [(i, f"own {i}") for i in range(-50, 60) if i != 5] + [(5, "hot 1"), (2**53 + 1, "far")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashed = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]]))
+    want = Counter()
+    for i, (doc_id, text) in enumerate(rows):
+        want[doc_id, hashlib.sha256(parsing.edited(text, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in parsing.compared(frame, 8).collect()) == want
+    sizes = [r["count"] for r in parsing.with_next(frame, 8).groupBy("bucket").count().collect()]
+    assert max(sizes) < 90
+
+
 @pytest.mark.parametrize("buckets", [1, 3, 40])
 def test_edited_texts_match_brute_force(docs, buckets):
     rows = sorted(docs.select("doc_id", F.coalesce("text", F.lit(""))).collect(), reverse=True)

@@ -7,14 +7,16 @@ starts at each local maximum. A phrase is named by a hash of its symbols, and th
 next level's text. Where phrases start depends on a few symbols around, never on the offset, so
 equal substrings give equal phrases but for some at their edges.
 
-The fingerprint samples the set of phrase names from ``LEAST_LEVEL`` up: one-permutation
-min-hashing in ``BINS`` bins, four hex digits each. The share of equal bins among those that
+The fingerprint samples the set of phrase names from ``LEAST_LEVEL`` up, and the name of the
+whole text, whatever its level: one-permutation min-hashing in ``BINS`` bins, four hex digits
+each. The share of equal bins among those that
 either text fills estimates the overlap of the two sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,6 @@ from .common import slices
 
 LEAST_LEVEL = 2
 BINS = 64
-FEW_NAMES = 8
 ROUNDS = 4
 _EMPTY = 0xFFFF
 #: Code points that are parsed at once.
@@ -122,20 +123,15 @@ def _sketch(texts: list[str], block: list[int], out: np.ndarray) -> None:
     raw = "".join([texts[i] for i in full]).encode("utf-32-le", "surrogatepass")
     points = np.frombuffer(raw, np.uint32)
     sizes = np.array([len(texts[i]) for i in full])
-    names, owners, shallow = [], [], []
-    many = np.zeros(len(full), np.int64)
+    names, owners = [], []
     for level, name, owner in parse(points, np.r_[0, np.cumsum(sizes)[:-1]]):
-        if level >= LEAST_LEVEL:
+        if level and level < LEAST_LEVEL:
+            # A text that is one phrase already is named whole.
+            whole = np.bincount(owner, minlength=len(full))[owner] == 1
+            name, owner = name[whole], owner[whole]
+        if level:
             names.append(name)
             owners.append(owner)
-            many += np.bincount(owner, minlength=len(full))
-        elif level:
-            shallow.append((name, owner))
-    # A text of few such names is sampled from its lower phrases too.
-    for name, owner in shallow:
-        keep = many[owner] < FEW_NAMES
-        names.append(name[keep])
-        owners.append(owner[keep])
     name, owner = np.concatenate(names), np.concatenate(owners)
     name = _mix(name)
     bins = (name >> np.uint64(58)).astype(np.int64)
@@ -158,32 +154,50 @@ def shown(rows: np.ndarray) -> list[str]:
     return [r.tobytes().hex() for r in rows.astype(">u2")]
 
 
+def _hot_ids(rows: DataFrame, buckets: int) -> DataFrame:
+    """(hot_id, parts): ids of more rows than a bucket should have, null included; fewer than ``buckets``."""
+    counted = rows.groupBy("doc_id").count()
+    least = rows.count() / buckets
+    return counted.where((F.col("count") > least) & (F.col("count") > 1)).select(F.col("doc_id").alias("hot_id"), F.ceil(F.col("count") / max(least, 1)).alias("parts"))
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """Rows in order of descending doc_id inside buckets of a range each, ready for a streaming pass.
 
-    One shuffle. The first row of each bucket also goes to the bucket before it (that of the
-    first bucket to the last), marked as seen from there, so each row's successor is beside it.
-    Nulls come last; rows of one doc_id are ordered by a hash of their text.
+    One shuffle of the texts. The first row of each bucket also goes to the bucket before it (that
+    of the first bucket to the last), marked as seen from there, so each row's successor is beside
+    it. Nulls come last; rows of one doc_id are ordered by a hash of their text, and a doc_id that
+    has more rows than a bucket should (or null) is cut in ranges of that hash.
     """
     from pyspark.ml.feature import Bucketizer
 
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"), F.col("doc_id").cast("double").alias("d"))
+    # Fewer rows than buckets.
+    hot = spark.createDataFrame(_hot_ids(docs.select("doc_id"), buckets).collect(), "hot_id bigint, parts bigint")
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(rows.where("d IS NOT NULL").approxQuantile("d", probs, 0.2 / buckets))) if probs else []
+    cuts = set(rows.where("d IS NOT NULL").approxQuantile("d", probs, 0.2 / buckets)) if probs else set()
+    for r in hot.where("hot_id IS NOT NULL").collect():
+        # A range of its own, so that its parts fall between other ids' buckets.
+        cuts |= {float(r.hot_id), math.nextafter(float(r.hot_id), math.inf)}
+    cuts = sorted(cuts)
     if cuts:
         binned = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="d", outputCol="b", handleInvalid="keep").transform(rows)
     else:
         binned = rows.withColumn("b", F.lit(0))
     # Descending: the highest range is bucket 0; null ids come after all.
     top = len(cuts)
-    bucket = F.when(F.col("d").isNull(), top + 1).otherwise(top - F.col("b").cast("int"))
-    rows = binned.select("doc_id", "text", "tie", bucket.alias("bucket"))
+    # The hash's place among all hashes, from 0 to 1.
+    place = (F.col("tie").cast("double") + 2.0**63) / 2.0**64
+    part = F.coalesce(F.least(F.floor(place * F.col("parts")), F.col("parts") - 1), F.lit(0))
+    binned = binned.join(F.broadcast(hot), F.col("doc_id").eqNullSafe(F.col("hot_id")), "left")
+    at = F.when(F.col("d").isNull(), top + 1).otherwise(top - F.col("b").cast("int")).cast("bigint")
+    rows = binned.select("doc_id", "text", "tie", F.shiftleft(at, 32).bitwiseOR(part).alias("bucket"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "tie", "doc_id")
     firsts = rows.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", F.col("o.doc_id").alias("doc_id"), F.col("o.tie").alias("tie")).orderBy("bucket").collect()
-    spark = docs.sparkSession
     # A row a bucket: bounded by the number of buckets.
     before = [(r.doc_id, r.tie, firsts[i - 1].bucket) for i, r in enumerate(firsts)]
-    seen = spark.createDataFrame(before, "first_id bigint, first_tie bigint, seen_from int")
+    seen = spark.createDataFrame(before, "first_id bigint, first_tie bigint, seen_from bigint")
     joined = rows.join(F.broadcast(seen), rows.doc_id.eqNullSafe(F.col("first_id")) & rows.tie.eqNullSafe(F.col("first_tie")), "left")
     both = F.array_compact(F.array(F.struct("bucket", F.lit(0).alias("kind")), F.when(F.col("seen_from").isNotNull(), F.struct(F.col("seen_from").alias("bucket"), F.lit(1).alias("kind")))))
     dealt = joined.select("doc_id", "text", "tie", F.explode(both).alias("to")).select("to.bucket", "to.kind", "doc_id", "tie", "text")
