@@ -1,5 +1,6 @@
 import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ ITEMS = [
     (5, "a a a a a a a a a a a a a a a"),
     (6, "The quick brown fox jumps over the lazy dog and then runs far away from here today"),
     (7, "Ä-ö ß123 x"),
+    (8, " ".join(f"k{i % 37}" for i in range(120))),
 ]
 TEXTS = [
     "He said: THE QUICK, brown fox jumps over the lazy dog and then runs far; away",
@@ -46,6 +48,8 @@ TEXTS = [
     "one " + "b " * 30,
     "one " + "b " * 10,
     "Ä ö ß123 X Ä-ö",
+    " ".join(f"k{i % 37}" for i in range(20, 60)) + " z" * 500,
+    " ".join(f"k{i}" for i in range(12)),
     "",
     None,
 ]
@@ -58,7 +62,7 @@ def pair(spark):
     return docs, items
 
 
-@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 5])
+@pytest.mark.parametrize("block", [decontam.BLOCK_WORDS, 40, 5])
 def test_matches_brute_force_in_one_block_or_many(pair, block):
     docs, items = pair
     known = [x for x in ITEMS if x[0] is not None]
@@ -81,3 +85,26 @@ def test_odd_rows_and_empty_tables(pair, odd, none):
     assert decontam.contamination(none, items).count() == 0
     assert decontam.contamination(odd, items.where("false")).where("contaminated OR n_items > 0").count() == 0
     assert decontam.clean_rows(odd, items.where("false")).count() == odd.count()
+
+
+def test_a_large_benchmark_stays_within_the_drivers_memory(spark):
+    """Two million words, most of them distinct, in blocks: 400 MB at most for the driver's Python."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from vecharbor.llm import decontam
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rng = np.random.default_rng(1)
+for block in range(4):
+    items = [(str(i), " ".join(map(str, rng.integers(0, 300_000, 1000))).encode()) for i in range(500)]
+    w = decontam.build_windows(items)
+    assert len(w.words) == 500 * 988
+    decontam.choose_prefixes(w, {k: rng.integers(0, 9, len(c)) for k, c in w.codes.items()})
+    mask, found = decontam.hits(w, b"zero " .split() + items[3][1].split()[5:40])
+    assert mask[1:].all() and not mask[0] and len(found) == 23
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(Path(__file__).resolve().parents[2]), check=True)
+    assert int(done.stdout) < 500

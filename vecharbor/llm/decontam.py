@@ -8,8 +8,9 @@ where it holds that token. The join on prefix tokens gives (window, position) ca
 the token's place in the window and the lengths of window and document bound the start; and
 the words from that start are compared with the window's, one by one.
 
-The benchmark side is broadcast in blocks of at most ``BLOCK_WORDS`` words, so what is sent
-to executors is bounded whatever the benchmark's size; each block is one map over documents.
+The benchmark side is broadcast in blocks of at most ``BLOCK_WORDS`` words, so what the driver
+and executors hold is bounded whatever the benchmark's size (some 300 bytes a word at worst);
+each block is one map over documents. An item of more words is cut in parts that share a window's words less one.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ WINDOW = 13
 ONE_IN = 20
 SHINGLE = 3
 #: Benchmark words of one broadcast block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Candidates that are verified at once.
 VERIFY_ROWS = 200_000
 
@@ -51,8 +52,9 @@ class Windows:
     #: Word ids of each window, in rows padded with -2.
     words: np.ndarray
     lengths: np.ndarray
-    #: Items that own each window: places in ``items`` by offsets.
-    owners: list[tuple[int, ...]]
+    #: Items that own each window: for window i, ``owners[owned[i]:owned[i + 1]]`` are places in ``items``.
+    owned: np.ndarray
+    owners: np.ndarray
     items: list[str]
     #: For each token width, sorted token codes of all windows of that width.
     codes: dict[int, np.ndarray]
@@ -60,16 +62,19 @@ class Windows:
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
 
     def tokens(self, ids: np.ndarray, width: int) -> np.ndarray:
-        """Code of the token at each position; -1 where a word is not the benchmark's."""
-        n = len(ids) - width + 1
+        """Code of the token at each position (of each row); -1 where a word is not the benchmark's."""
+        n = ids.shape[-1] - width + 1
         if n <= 0:
-            return np.zeros(0, np.int64)
-        base, code, ok = len(self.vocabulary), np.zeros(n, np.int64), np.ones(n, bool)
+            return np.zeros((*ids.shape[:-1], 0), np.int64)
+        base = max(len(self.vocabulary), 1)
+        code, ok = np.zeros((*ids.shape[:-1], n), np.int64), np.ones((*ids.shape[:-1], n), bool)
         for k in range(width):
-            part = ids[k : k + n]
+            part = ids[..., k : k + n]
             ok &= part >= 0
-            code = code * base + part
-        return np.where(ok, code, -1)
+            code *= base
+            code += part
+        code[~ok] = -1
+        return code
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         get = self.vocabulary.get
@@ -89,22 +94,28 @@ class Windows:
 
 def build_windows(items: list[tuple[str, bytes]], window: int = WINDOW) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    distinct: dict[tuple[int, ...], set[int]] = {}
-    names = [name for name, _ in items]
+    rows, owners = [], []
     for k, (_, text) in enumerate(items):
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        size = min(window, len(ids))
-        for i in range(len(ids) - size + 1 if size else 0):
-            distinct.setdefault(tuple(ids[i : i + size]), set()).add(k)
-    rows = list(distinct)
-    lengths = np.array([len(r) for r in rows], np.int64)
-    words = np.full((len(rows), window), -2, np.int64)
-    for i, r in enumerate(rows):
-        words[i, : len(r)] = r
-    out = Windows(vocabulary, words, lengths, [tuple(sorted(distinct[r])) for r in rows], names, {})
+        ids = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)), np.int32)
+        if len(ids) >= window:
+            mine = np.lib.stride_tricks.sliding_window_view(ids, window)
+        elif len(ids):
+            mine = np.r_[ids, np.full(window - len(ids), -2, np.int32)][None]
+        else:
+            continue
+        rows.append(mine)
+        owners.append(np.full(len(mine), k, np.int32))
+    every = np.ascontiguousarray(np.concatenate(rows) if rows else np.zeros((0, window), np.int32))
+    # Equal rows are equal byte strings.
+    raw = every.view(np.dtype((np.void, window * 4))).ravel()
+    _, first, which = np.unique(raw, return_index=True, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), np.concatenate(owners) if owners else np.zeros(0, np.int32)], axis=1).astype(np.int64), axis=0)
+    words = every[first]
+    lengths = (words >= 0).sum(axis=1)
+    out = Windows(vocabulary, words, lengths, np.searchsorted(pairs[:, 0], np.arange(len(words) + 1)), pairs[:, 1].astype(np.int32), [name for name, _ in items], {})
     for width in range(1, SHINGLE + 1):
-        mine = [out.tokens(words[i, : lengths[i]], width) for i in np.flatnonzero(np.minimum(lengths, SHINGLE) == width)]
-        out.codes[width] = np.unique(np.concatenate(mine)) if mine else np.zeros(0, np.int64)
+        codes = out.tokens(words[np.minimum(lengths, SHINGLE) == width], width)
+        out.codes[width] = np.unique(codes[codes >= 0])
     return out
 
 
@@ -112,15 +123,20 @@ def choose_prefixes(w: Windows, counts: dict[int, np.ndarray]) -> None:
     """The rarest token of each window; of equally rare ones that of the lowest code, then the first."""
     w.prefix = {}
     for width, known in w.codes.items():
-        owner, place, offset = [], [], []
-        for i in np.flatnonzero(np.minimum(w.lengths, SHINGLE) == width):
-            at = np.searchsorted(known, w.tokens(w.words[i, : w.lengths[i]], width))
-            best = int(np.lexsort((np.arange(len(at)), at, counts[width][at]))[0])
-            owner.append(i), place.append(at[best]), offset.append(best)
+        owner = np.flatnonzero(np.minimum(w.lengths, SHINGLE) == width)
+        codes = w.tokens(w.words[owner], width)
+        if not len(owner):
+            w.prefix[width] = (np.zeros(1, np.int64),) * 3
+            continue
+        at = np.searchsorted(known, codes)
+        # Tokens in order of rarity, then of code.
+        rank = np.empty(len(known), np.int64)
+        rank[np.argsort(counts[width], kind="stable")] = np.arange(len(known))
+        order_of = np.where(codes >= 0, rank[np.minimum(at, len(known) - 1)], len(known))
+        offset = order_of.argmin(axis=1)
+        place = at[np.arange(len(owner)), offset]
         order = np.argsort(place, kind="stable")
-        owner, place, offset = (np.array(x, np.int64)[order] for x in (owner, place, offset))
-        starts = np.searchsorted(place, np.arange(len(known) + 1))
-        w.prefix[width] = (starts, owner, offset)
+        w.prefix[width] = (np.searchsorted(place[order], np.arange(len(known) + 1)), owner[order], offset[order])
 
 
 def hits(w: Windows, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
@@ -164,21 +180,20 @@ def hits(w: Windows, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
     return mask, found
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items (id as text, bytes) in blocks of about ``block_words`` words, streamed to the driver."""
     held: list[tuple[str, bytes]] = []
-    size = 0
-    rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(F.col(item).cast("string"), F.col(text))
+    size, most = 0, max(block_words, window)
+    rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
     for name, value in rows.toLocalIterator():
-        raw = value.encode()
-        n = len(words_of(raw))
-        if not n:
-            continue
-        if held and size + n > block_words:
-            yield held
-            held, size = [], 0
-        held.append((name, raw))
-        size += n
+        words = words_of(value.encode())
+        for at in range(0, max(len(words) - window + 1, min(len(words), 1)), most):
+            part = words[at : at + most + window - 1]
+            if held and size + len(part) > block_words:
+                yield held
+                held, size = [], 0
+            held.append((name, b" ".join(part)))
+            size += len(part)
     if held:
         yield held
 
@@ -209,12 +224,13 @@ def _counted(docs: DataFrame, w: Windows) -> dict[int, np.ndarray]:
     rows = docs.select("text").mapInArrow(run, "width int, place bigint, n bigint").groupBy("width", "place").agg(F.sum("n").alias("n"))
     for width, place, n in rows.toLocalIterator():
         counts[width][place] = n
+    shared.destroy()
     return counts
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list[Broadcast]:
     out = []
-    for items in _blocks(benchmark, "item_id", "text", block_words):
+    for items in _blocks(benchmark, window, block_words):
         w = build_windows(items, window)
         choose_prefixes(w, _counted(docs, w))
         out.append(docs.sparkSession.sparkContext.broadcast(w))
@@ -278,7 +294,7 @@ def _masks(block: Windows | None, batch: pa.RecordBatch, marks: tuple[str, str]
         mask, names = np.zeros(len(words), bool), set()
         if block:
             mask, found = hits(block, words)
-            names.update(block.items[k] for w in found for k in block.owners[w])
+            names.update(block.items[k] for w in found for k in block.owners[block.owned[w] : block.owned[w + 1]])
         if before:
             packed, items = before[0][i], before[1][i]
             mask |= np.unpackbits(np.frombuffer(packed, np.uint8), count=len(words)).astype(bool)
