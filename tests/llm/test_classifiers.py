@@ -69,6 +69,32 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark, docs, labels):
     assert (a.labels == b.labels).all() and (a.vectors == b.vectors).all()
 
 
+def test_votes_match_a_plain_computation(docs, labels):
+    """Cosines one by one, exact; ties for the last places share them."""
+    from fractions import Fraction
+
+    model = quality.fit(docs, labels, most=60)
+    model.vectors[7] = model.vectors[3] = model.vectors[11]
+    model.labels[[3, 7, 11]] = 0, 1, 1
+    texts = [(r.text or "").encode() for r in docs.orderBy("doc_id").limit(60).collect()]
+    assert quality.NEIGHBOURS == 15
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        v = [sum(float(a) * float(b) for a, b in zip(quality.terms(text)[model.columns], column)) for column in model.project.T]
+        size = sum(x * x for x in v) ** 0.5
+        cosines = [round(sum(x * float(y) for x, y in zip(v, own)) / size, quality.PLACES) for own in model.vectors]
+        last = sorted(cosines, reverse=True)[14]
+        above = sum(c > last for c in cosines)
+        share = [Fraction(1) if c > last else Fraction(15 - above, cosines.count(last)) if c == last else 0 for c in cosines]
+        weight = [max(c, 0) * float(s) for c, s in zip(cosines, share)]
+        assert score == pytest.approx(sum(w * y for w, y in zip(weight, model.labels)) / sum(weight), abs=2e-2)
+
+
+def test_equal_neighbours_share_the_last_places():
+    model = quality.Model(np.arange(2), np.eye(2, dtype=np.float32), np.float32([[1, 0]] * 10 + [[0.6, 0.8]] * 20 + [[0, 1]] * 5), np.r_[np.ones(10), np.zeros(10), np.ones(10), np.zeros(5)], 0.5)
+    model.latent = lambda rows: np.float32([[1, 0]] * len(rows))
+    assert model.scores([b"x", b"y"]) == pytest.approx([(10 + 0.6 * 2.5) / (10 + 0.6 * 5)] * 2)
+
+
 def test_kernel_bears_inserted_characters():
     insults = ["idiot", "moron", "stupid", "worthless"]
     fine = "the a of and station river mountain garden window market paper letter stone street winter summer music teacher".split()

@@ -26,6 +26,8 @@ MAX_TRAIN = 4000
 RANK = 32
 NEIGHBOURS = 15
 THRESHOLD = 0.7
+#: Decimal places of a cosine.
+PLACES = 5
 #: Documents whose cosines are computed at once.
 BLOCK = 256
 
@@ -86,11 +88,14 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for at in range(0, len(texts), BLOCK):
             rows = np.array([terms(t) for t in texts[at : at + BLOCK]])
-            cosine = self.latent(rows) @ self.vectors.T
-            near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 0)
+            cosine = np.round(self.latent(rows) @ self.vectors.T, PLACES)
+            last = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+            above, level = cosine > last, cosine == last
+            # Those level with the last neighbour share the places that are left.
+            left = (k - above.sum(axis=1)) / level.sum(axis=1)
+            weight = np.maximum(cosine, 0) * (above + level * left[:, None])
             total = weight.sum(axis=1)
-            voted = (weight * self.labels[near]).sum(axis=1)
+            voted = weight @ self.labels
             out[at : at + len(rows)] = np.where(total > 0, voted / np.where(total > 0, total, 1), self.prior)
         return np.clip(out, 0, 1)
 
@@ -144,7 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 4
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row; null and empty texts get the sample's share of label 1."""
+    """doc_id and score of each row; null and empty texts get the sample's share of label 1.
+
+    Equal texts score alike, repeated rows give repeated rows (also without a doc_id), an empty
+    table none. Texts are read whole; columns other than doc_id and text are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -159,7 +168,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def good_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows whose score reaches the threshold, with all their columns."""
+    """Rows whose score reaches the threshold, with all their columns, whatever these are called.
+
+    Rows are judged as ``scored`` judges them: null and empty texts by the sample's share of label
+    1, repeated rows each; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
