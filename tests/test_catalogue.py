@@ -17,5 +17,5 @@ def test_gives_rows(spark, sf_dir, name):
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 50
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -10,23 +10,29 @@ search serve as the oracle-checked path.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.codec import inverse_magnitude
-from .search import HITS, knn, live, top
+from .search import HITS, QUERY_BLOCK, _query_blocks, knn, live, top
 
 # Fixed values of the graph.
 M = 16
-EF_CONSTRUCTION = 200
 OPTIMIZE_ROUTING = 0.5
 DESCENT_WIDTH = 16
 PRUNE_WINDOW = 16
 UPPER_CAP = 64
+FILTER_EXPANSION = 24
+
+#: Nodes of a shard, and distances that are held at once while one is built.
+SHARD_ROWS = 20_000
+DISTANCES = 1 << 23
 
 EDGES = "level int, src bigint, pos int, dst bigint"
 
@@ -72,31 +78,32 @@ def unvisited(found: DataFrame, visited: DataFrame) -> DataFrame:
 # ---- neighbour choice ----
 
 
-def route_choice(near: np.ndarray, reach: dict[int, dict[int, float]], m: int, r: float = OPTIMIZE_ROUTING) -> tuple[list[int], list[tuple[int, int]]]:
-    """Candidates kept of those in ascending distance ``near``, and edges to drop.
+def route_choice(near: np.ndarray, around: dict[int, list[tuple[int, int, float]]], m: int, r: float = OPTIMIZE_ROUTING, most: int | None = None) -> tuple[list[int], list[tuple[int, int]]]:
+    """Candidates kept of those in ascending distance ``near``, and links between them to drop.
 
-    ``reach`` gives for a candidate its neighbours and their distances. A candidate is passed
-    over if it can be had through one chosen before: its distance, weighted by rank, exceeds the
-    way through that one. If instead the link between the two is the longer way, it is dropped.
-    Weights grow with rank, so that far links must be worth more.
+    ``around`` gives for a candidate the neighbours that are candidates too: their place in its
+    whole list, candidate and distance, in the list's order. A candidate is passed over if it can
+    be had through one chosen before: its distance, weighted by rank, exceeds the way through that
+    one. If instead the link between the two is the longer way, it is to be dropped. Weights grow
+    with rank, so that far links must be worth more. Without weight (``r`` 0) the ``most`` nearest
+    are kept.
     """
-    limit, kept, drop = 2 * m, [], []
-    for i in range(len(near)):
-        if len(kept) >= limit:
-            break
+    if not r:
+        return list(range(min(len(near), 2 * m if most is None else most))), []
+    kept, drop, chosen = [], [], set()
+    for i in range(min(len(near), 2 * m)):
         weight = 1 + r * (1 + 0.5 * i / m)
-        around, cut, passed = reach.get(i, {}), [], False
-        for place, j in enumerate(sorted(around, key=around.get)):
-            if j not in kept:
+        cut = []
+        for place, j, link in around.get(i, ()):
+            if j not in chosen:
                 continue
-            link = around[j]
             if near[i] * weight > near[j] + link:
-                passed = True
                 break
             if link * (1 + r * (1 + 0.5 * place / m)) > near[i] + near[j]:
                 cut.append((i, j))
-        if not passed:
+        else:
             kept.append(i)
+            chosen.add(i)
             drop += cut
     return kept, drop
 
@@ -105,13 +112,14 @@ def coverage_choice(near: np.ndarray, pair: np.ndarray, cap: int, window: int =
     """At most ``cap`` of the neighbours in ascending distance ``near``; ``pair`` their mutual distances.
 
     While there are too many, the farthest of the last ``window`` goes for which one of the first
-    ``window`` is nearer than the base; failing that, the farthest of all.
+    ``window`` before these is nearer than the base; failing that, the farthest of all.
     """
     kept = list(range(len(near)))
     while len(kept) > cap:
-        head = kept[:window]
-        for e in reversed(kept[-window:]):
-            if any(k != e and pair[e, k] < near[e] for k in head):
+        tail = max(len(kept) - window, 0)
+        head = kept[: min(window, tail)]
+        for e in reversed(kept[tail:]):
+            if any(pair[e, k] < near[e] for k in head):
                 kept.remove(e)
                 break
         else:
@@ -122,7 +130,7 @@ def coverage_choice(near: np.ndarray, pair: np.ndarray, cap: int, window: int =
 # ---- shards ----
 
 
-def _adjacency(unit: np.ndarray, ids: np.ndarray, m: int, cap: int, r: float) -> list[np.ndarray]:
+def _adjacency(unit: np.ndarray, ids: np.ndarray, m: int, cap: int, r: float, most: int) -> list[np.ndarray]:
     """Neighbour lists (row numbers, nearest first) of one layer of a shard."""
     n = len(ids)
     if n < 2:
@@ -130,24 +138,30 @@ def _adjacency(unit: np.ndarray, ids: np.ndarray, m: int, cap: int, r: float) ->
     width = min(n - 1, 2 * m)
     near_ids = np.empty((n, width), np.int64)
     near = np.empty((n, width))
-    for at in range(0, n, 1024):
-        distance = 1 - unit[at : at + 1024] @ unit.T
+    step = max(1, DISTANCES // n)
+    for at in range(0, n, step):
+        distance = 1 - unit[at : at + step] @ unit.T
         rows = np.arange(len(distance))
         distance[rows, at + rows] = np.inf
         part = np.argpartition(distance, width - 1, axis=1)[:, :width]
         d = np.take_along_axis(distance, part, axis=1)
         order = np.lexsort((ids[part], d), axis=1)
-        near_ids[at : at + 1024] = np.take_along_axis(part, order, axis=1)
-        near[at : at + 1024] = np.take_along_axis(d, order, axis=1)
-    known = [dict(zip(near_ids[i].tolist(), near[i].tolist(), strict=True)) for i in range(n)]
+        near_ids[at : at + step] = np.take_along_axis(part, order, axis=1)
+        near[at : at + step] = np.take_along_axis(d, order, axis=1)
+    known = [list(zip(near_ids[i].tolist(), near[i].tolist(), strict=True)) for i in range(n)]
+    gone: set[tuple[int, int]] = set()
     links: list[dict[int, float]] = [{} for _ in range(n)]
     for i in range(n):
         at = {int(x): p for p, x in enumerate(near_ids[i])}
-        reach = {p: {at[y]: d for y, d in known[x].items() if y in at} for x, p in at.items()}
-        kept, _ = route_choice(near[i], reach, m, r) if r else (range(width), [])
+        around = {p: [(place, at[y], d) for place, (y, d) in enumerate(known[x]) if y in at] for x, p in at.items()}
+        kept, drop = route_choice(near[i], around, m, r, most)
         for p in kept:
             j = int(near_ids[i, p])
             links[i][j] = links[j][i] = float(near[i, p])
+        gone.update((int(near_ids[i, p]), int(near_ids[i, q])) for p, q in drop)
+    for i, j in gone:
+        links[i].pop(j, None)
+        links[j].pop(i, None)
     _connect(links, unit)
     out = []
     for i in range(n):
@@ -177,8 +191,13 @@ def _connect(links: list[dict[int, float]], unit: np.ndarray) -> None:
         links[a][b] = links[b][a] = float(1 - unit[a] @ unit[b])
 
 
+def shards_for(nodes: DataFrame, least: int = 1) -> int:
+    """Shards that hold ``SHARD_ROWS`` live nodes each at most, on average; ``least`` or more."""
+    return max(least, -(-live(nodes).count() // SHARD_ROWS))
+
+
 def build(nodes: DataFrame, shards: int, *, m: int = M, cap: int = 64, r: float = OPTIMIZE_ROUTING) -> DataFrame:
-    """(shard, level, src, pos, dst) of the graphs of all shards; a shard must fit one task."""
+    """(shard, level, src, pos, dst) of the graphs of all shards; ``shards_for`` gives their number."""
     rows = live(nodes).select("node_id", "embedding", vectors.level("node_id", m).alias("level"), F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +208,7 @@ def build(nodes: DataFrame, shards: int, *, m: int = M, cap: int = 64, r: float
         parts = []
         for layer in range(int(level.max()) + 1):
             own = np.flatnonzero(level >= layer)
-            for i, rows in enumerate(_adjacency(unit[own], ids[own], m, cap if layer == 0 else min(2 * m, UPPER_CAP), r)):
+            for i, rows in enumerate(_adjacency(unit[own], ids[own], m, cap if layer == 0 else min(2 * m, UPPER_CAP), r, m if layer else 2 * m)):
                 if len(rows):
                     parts.append(pd.DataFrame({"shard": pdf["shard"].iloc[0], "level": layer, "src": ids[own[i]], "pos": np.arange(1, len(rows) + 1), "dst": ids[own[rows]]}))
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("shard", "level", "src", "pos", "dst")})
@@ -229,25 +248,37 @@ def beam(distance, neighbours, start: list[int], width: int, admitted=None, budg
     return sorted((-d, -n) for d, n in best)
 
 
-def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int, shards: int, *, allowed: DataFrame | None = None, budget: int | None = None) -> DataFrame:
-    """Hits by beam search of every shard; ``queries`` must be few enough to broadcast.
+def search(
+    nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: int, shards: int, *, allowed: DataFrame | None = None, budget: int | None = None, entry: int | None = None, block_bytes: int = QUERY_BLOCK
+) -> DataFrame:
+    """Hits by beam search of every shard; queries go to the shards in blocks of bounded bytes.
 
-    A budget counts visits of the lowest layer only, after the descent.
+    Deleted nodes still lead on, but are no hits. Search of a shard begins at ``entry`` where the
+    shard's top layer has it, else at the least node of that layer. A budget counts visits of the
+    lowest layer only, after the descent.
     """
-    spark = nodes.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select("query_id", "embedding").collect()]
-    shared = spark.sparkContext.broadcast(asked)
-    side = live(nodes).select("node_id", "embedding", F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
+    side = nodes.select("node_id", "embedding", (F.col("status") == 1 if "status" in nodes.columns else F.lit(True)).alias("ok"), F.pmod(F.xxhash64("node_id"), F.lit(shards)).cast("int").alias("shard"))
+    side = side.where("embedding IS NOT NULL")
     if allowed is not None:
-        side = side.join(allowed.select("node_id", F.lit(True).alias("ok")).distinct(), "node_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    else:
-        side = side.withColumn("ok", F.lit(True))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("node_id")
-        ids = left["node_id"].to_numpy()
-        if not len(ids):
-            return pd.DataFrame({"query_id": [], "node_id": [], "distance": []})
+        side = side.join(allowed.select("node_id", F.lit(True).alias("may")).distinct(), "node_id", "left").withColumn("ok", F.col("ok") & F.coalesce("may", F.lit(False))).drop("may")
+    out = None
+    for ids, block in _query_blocks(queries, block_bytes):
+        shared = nodes.sparkSession.sparkContext.broadcast((ids, block))
+
+        part = side.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(_shard_search(shared, k, ef, budget, entry), HITS)
+        out = part if out is None else out.unionByName(part)
+    return top(out if out is not None else nodes.sparkSession.createDataFrame([], HITS), min(k, max(ef, 1)))
+
+
+def _shard_search(shared: Broadcast, k: int, ef: int, budget: int | None, entry: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    return lambda left, right: _shard_hits(left, right, *shared.value, k, ef, budget, entry)
+
+
+def _shard_hits(left: pd.DataFrame, right: pd.DataFrame, query_ids: np.ndarray, block: np.ndarray, k: int, ef: int, budget: int | None, entry: int | None) -> pd.DataFrame:
+    left = left.sort_values("node_id")
+    ids = left["node_id"].to_numpy()
+    rows: list[tuple[int, int, float]] = []
+    if len(ids):
         x = np.array(left["embedding"].tolist(), np.float64)
         unit = x * inverse_magnitude(x)[:, None]
         ok = left["ok"].to_numpy()
@@ -258,25 +289,21 @@ def search(nodes: DataFrame, edges: DataFrame, queries: DataFrame, k: int, ef: i
             if src in at and dst in at:
                 layers.setdefault(int(lv), {}).setdefault(at[src], []).append(at[dst])
         height = max(layers, default=0)
-        entry = min(layers[height]) if layers.get(height) else 0
-        rows = []
-        for query_id, vector in shared.value:
-            q = np.array(vector, np.float64)
-            q = q * inverse_magnitude(q[None])[0]
+        first = layers.get(height, {})
+        begin = at[entry] if entry in at and at[entry] in first else min(first, default=0)
+        base = layers.get(0, {})
+        asked = block.astype(np.float64) * inverse_magnitude(block)[:, None]
+        for query_id, q in zip(query_ids.tolist(), asked, strict=True):
 
-            def distance(i: int) -> float:
+            def distance(i: int, q=q) -> float:
                 return float(1 - unit[i] @ q)
 
-            start = [entry]
+            start = [begin]
             for lv in range(height, 0, -1):
                 start = [beam(distance, lambda i, g=layers[lv]: g.get(i, ()), start, DESCENT_WIDTH)[0][1]]
-            base = layers.get(0, {})
             found = beam(distance, lambda i: base.get(i, ()), start, max(ef, 1), lambda i: bool(ok[i]), budget)
             rows += [(query_id, int(ids[i]), d) for d, i in found[:k]]
-        return pd.DataFrame(rows, columns=["query_id", "node_id", "distance"])
-
-    hits = side.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(run, HITS)
-    return top(hits, min(k, max(ef, 1)))
+    return pd.DataFrame(rows, columns=["query_id", "node_id", "distance"])
 
 
 def pruned(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
@@ -295,20 +322,28 @@ def pruned(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
 
 
 def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFrame:
-    """Neighbour lists (src, pos, dst, distance) thinned by routing; ``edges`` as of ``knn_edges``."""
+    """Neighbour lists (src, pos, dst, distance) thinned by routing; ``edges`` as of ``knn_edges``.
+
+    Links that some node's choice drops are gone from both their ends' lists.
+    """
     around = edges.select(F.col("src").alias("dst"), F.col("dst").alias("via"), F.col("distance").alias("hop"))
-    lists = around.groupBy("dst").agg(F.collect_list(F.struct("via", "hop")).alias("around"))
+    lists = around.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("hop", "via"))).alias("around"))
     rows = edges.select("src", "dst", "distance").join(lists, "dst", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["distance", "dst"]).reset_index(drop=True)
         at = {int(x): i for i, x in enumerate(pdf["dst"])}
-        reach = {i: {at[v["via"]]: v["hop"] for v in (a if a is not None else ()) if v["via"] in at} for i, a in enumerate(pdf["around"])}
-        kept, _ = route_choice(pdf["distance"].to_numpy(), reach, m, r)
-        kept = pdf.iloc[kept]
-        return pd.DataFrame({"src": kept["src"], "pos": range(1, len(kept) + 1), "dst": kept["dst"], "distance": kept["distance"]})
-
-    return rows.groupBy("src").applyInPandas(run, "src bigint, pos int, dst bigint, distance double")
+        around = {i: [(place, at[v["via"]], v["hop"]) for place, v in enumerate(a if a is not None else ()) if v["via"] in at] for i, a in enumerate(pdf["around"])}
+        kept, drop = route_choice(pdf["distance"].to_numpy(), around, m, r)
+        dst, distance = pdf["dst"].to_numpy(), pdf["distance"].to_numpy()
+        out = [(pdf["src"].iloc[0], int(dst[i]), float(distance[i]), False) for i in kept]
+        out += [x for i, j in drop for x in ((int(dst[i]), int(dst[j]), None, True), (int(dst[j]), int(dst[i]), None, True))]
+        return pd.DataFrame(out, columns=["src", "dst", "distance", "gone"])
+
+    chosen = rows.groupBy("src").applyInPandas(run, "src bigint, dst bigint, distance double, gone boolean")
+    both = chosen.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.max("gone").alias("gone")).where("NOT gone")
+    pos = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
+    return both.select("src", pos.alias("pos"), "dst", "distance")
 
 
 def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, k: int, ef: int) -> DataFrame:

@@ -50,8 +50,9 @@ def record_fault(dims: int, key_cap: int, vector: str = "embedding", key: str =
     )
 
 
-def running(df: DataFrame, order: str, name: str, buckets: int | None = None) -> DataFrame:
-    """``df`` with the running number of each row by the numeric column ``order``.
+def running(df: DataFrame, order: str, name: str, buckets: int | None = None, value: str | None = None) -> DataFrame:
+    """``df`` with the running number of each row by the numeric column ``order``, or the running
+    sum of ``value``.
 
     Rows are numbered inside ranges of ``order``; each range starts at the sum of those before
     it, so no task ranks all rows. The ranges' bounds are fixed numbers: a task that runs again
@@ -59,19 +60,20 @@ def running(df: DataFrame, order: str, name: str, buckets: int | None = None) ->
     """
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    value, part = F.col(order).cast("double"), "__part"
-    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
-    ranged = df.withColumn("__v", value)
+    at, part = F.col(order).cast("double"), "__part"
+    cuts = sorted(set(df.select(at.alias("v")).approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.25 / buckets))) if buckets > 1 else []
+    ranged = df.withColumn("__v", at)
     if cuts:
         ranged = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="__v", outputCol=part).transform(ranged).withColumn(part, F.col(part).cast("int"))
     else:
         ranged = ranged.withColumn(part, F.lit(0))
-    sizes = dict(ranged.groupBy(part).count().collect())
+    sizes = dict(ranged.groupBy(part).agg(F.sum(value).cast("bigint") if value else F.count("*")).collect())
     starts, total = [], 0
     for i in range(len(cuts) + 1):
         starts.append(total)
-        total += sizes.get(i, 0)
-    inside = F.row_number().over(Window.partitionBy(part).orderBy(order))
+        total += sizes.get(i) or 0
+    window = Window.partitionBy(part).orderBy(order)
+    inside = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)) if value else F.row_number().over(window)
     return ranged.withColumn(name, inside + F.get(F.array(*map(F.lit, starts)), F.col(part))).drop(part, "__v")
 
 
@@ -100,28 +102,42 @@ def assigned(valid: DataFrame, free: DataFrame, high_water: int, max_nodes: int)
     return joined.withColumn("node_id", node_id.cast("bigint")).drop("reused", "ins_rank")
 
 
+def key_bytes(key: str | Column = "key") -> Column:
+    """Room that an overflow key takes."""
+    return (KEY_CLASS * F.ceil(F.octet_length(key) / KEY_CLASS)).cast("bigint")
+
+
 def arena_faults(records: DataFrame, key_cap: int, arena_bytes: int, used: int = 0) -> DataFrame:
     """``records`` (seq, key) with ``arena_ok``: whether each long key found room, in order of seq.
 
-    A key that does not fit takes no room, so later shorter ones may still fit. Only long keys
-    are looked at in sequence: what fits ahead of all others by running sum is settled by range,
-    and the fold over the rest ends when the smallest class no longer fits.
+    A key that does not fit takes no room, so later shorter ones may still fit. All keys up to the
+    first that does not fit are settled by running sums on executors. What is left then is less
+    than one key needs. Of each size only the first keys can still fit, as many as would fill what
+    is left, for once one of a size is turned down all later ones are: these few go to the driver,
+    ``MAX_KEY / KEY_CLASS`` sizes with some thousands of keys together at most.
     """
-    size = KEY_CLASS * F.ceil(F.octet_length("key") / KEY_CLASS)
-    long = records.where(F.octet_length("key") > key_cap).select("seq", size.cast("bigint").alias("bytes"))
     room = arena_bytes - used
-    # At most room / KEY_CLASS keys can ever be accepted: the fold's answer is bounded by the arena.
-    accepted, left = [], room
-    for seq, need in long.where(F.col("bytes") <= room).orderBy("seq").toLocalIterator(prefetchPartitions=True):
+    long = records.where(F.octet_length("key") > key_cap).select("seq", key_bytes().alias("bytes"))
+    summed = running(long, "seq", "upto", value="bytes")
+    front = F.col("upto") <= room
+    state = summed.agg(F.max(F.when(front, F.col("upto"))).alias("taken"), F.min(F.when(~front, F.col("seq"))).alias("first")).first()
+    left = room - (state.taken or 0)
+    rank = F.row_number().over(Window.partitionBy("bytes").orderBy("seq"))
+    tail = summed.where(~front & (F.col("bytes") <= left)).withColumn("n", rank).where(F.col("n") * F.col("bytes") <= left)
+    accepted = []
+    for seq, need in tail.select("seq", "bytes").orderBy("seq").collect() if state.first is not None and left >= KEY_CLASS else ():
         if need <= left:
             accepted.append((seq,))
             left -= need
-        if left < KEY_CLASS:
-            break
-    fits = records.sparkSession.createDataFrame(accepted, "seq bigint").withColumn("__fits", F.lit(True))
-    joined = records.join(fits, "seq", "left")
+    late = records.sparkSession.createDataFrame(accepted, "seq bigint").withColumn("__late", F.lit(True))
     ok = F.coalesce(F.octet_length("key"), F.lit(0)) <= key_cap
-    return joined.withColumn("arena_ok", ok | F.coalesce("__fits", F.lit(False))).drop("__fits")
+    if state.first is not None:
+        # The front's end is a seq: no join is needed to know who stands before it.
+        ok |= F.col("seq") < F.lit(state.first)
+    else:
+        ok |= F.lit(True)
+    joined = records.join(F.broadcast(late), "seq", "left")
+    return joined.withColumn("arena_ok", ok | F.coalesce("__late", F.lit(False))).drop("__late")
 
 
 def insert_batch(records: DataFrame, free: DataFrame, *, dims: int, key_cap: int, high_water: int, max_nodes: int, arena_bytes: int | None = None) -> DataFrame:
@@ -144,10 +160,10 @@ def insert_batch(records: DataFrame, free: DataFrame, *, dims: int, key_cap: int
     return every.withColumn("reason", reason(F.col("code")))
 
 
-def latest(ops: DataFrame, *keys: str) -> DataFrame:
-    """The row of the highest seq for each key; the sums run by partial aggregation."""
+def latest(ops: DataFrame, *keys: str, by: str = "seq") -> DataFrame:
+    """The row of the highest ``by`` for each key; the sums run by partial aggregation."""
     others = [c for c in ops.columns if c not in keys]
-    best = ops.groupBy(*keys).agg(F.max_by(F.struct(*others), "seq").alias("__row"))
+    best = ops.groupBy(*keys).agg(F.max_by(F.struct(*others), by).alias("__row"))
     return best.select(*keys, *(F.col("__row")[c].alias(c) for c in others))
 
 

@@ -1,7 +1,8 @@
 """A plane: one vector index, kept as immutable segments and a manifest.
 
-Every mutation writes new files first and then replaces the manifest by one rename, so readers
-see the old state or the new, and a lost driver leaves the old one. Segments are appended:
+Every mutation writes new files first and then claims the next manifest: manifests are numbered,
+and a number is taken by one rename that fails if it is there. So readers see the old state or the
+new, a lost driver leaves the old one, and of two writers one is refused. Segments are appended:
 inserts of fresh ids are plain rows; rewrites of known ids are rows with a higher ``txn``, and a
 view keeps the newest row of each rewritten id. ``compact`` folds the segments into one.
 
@@ -15,6 +16,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from ..functions import vectors
 from ..operators import graph, ivf, mutate, search
 
 FORMAT = {"int8": 8, "int16": 9}
-NODES = "node_id bigint, key binary, status int, level int, embedding array<float>, code array<smallint>, scale float, inv_mag double, txn bigint"
+NODES = "node_id bigint, key binary, status int, level int, embedding array<float>, code array<smallint>, scale float, inv_mag double, seq bigint, txn bigint"
 FREE = "node_id bigint, seq bigint"
 MAX_DIMS = 65_535
 
@@ -77,15 +79,22 @@ class Files:
         stream.close()
         return True
 
-    def replace(self, name: str, text: str) -> None:
-        """Write beside, then rename over the old file in one step."""
+    def claim(self, name: str, text: str, overwrite: bool = False) -> bool:
+        """Write beside, then rename in one step; False if the name is taken and not to be replaced."""
         beside = f"{name}.{uuid.uuid4().hex}"
         self.create(beside, text)
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         rename = self.jvm.org.apache.hadoop.fs.Options.Rename
         array = self.jvm.java.lang.reflect.Array.newInstance(rename.OVERWRITE.getClass(), 1)
-        array[0] = rename.OVERWRITE
-        context.rename(self.path(beside), self.path(name), array)
+        array[0] = rename.OVERWRITE if overwrite else rename.NONE
+        try:
+            context.rename(self.path(beside), self.path(name), array)
+        except Exception as e:
+            self.fs.delete(self.path(beside), False)
+            if not overwrite and self.exists(name):
+                return False
+            raise e
+        return True
 
 
 def stale_path_for(path: str) -> str:
@@ -93,18 +102,34 @@ def stale_path_for(path: str) -> str:
     return path.rstrip("/") + ".stale"
 
 
-def _manifest_path(path: str) -> str:
-    return path.rstrip("/") + "/_manifest.json"
+def _manifest_path(path: str, txn: int | None = None) -> str:
+    """The manifest of a number; without one, the file that names a number to begin at."""
+    return path.rstrip("/") + ("/_manifest.json" if txn is None else f"/_manifest-{txn:012d}.json")
+
+
+def _newest(files: Files, path: str) -> dict:
+    """The state of the highest number."""
+    txn = int(files.read(_manifest_path(path)))
+    while files.exists(_manifest_path(path, txn + 1)):
+        txn += 1
+    return json.loads(files.read(_manifest_path(path, txn)))
+
+
+def _claimed(files: Files, path: str, state: dict) -> bool:
+    """Make ``state`` the newest; False if another writer took its number."""
+    if not files.claim(_manifest_path(path, state["txn"]), json.dumps(state)):
+        return False
+    files.claim(_manifest_path(path), str(state["txn"]), overwrite=True)
+    return True
 
 
 def invalidate_plane(spark: SparkSession, path: str) -> Invalidation:
     """Latch the manifest, then write the marker; fails only if neither could be done. Idempotent."""
     files, latched, marked, last = Files(spark, path), False, False, None
     try:
-        if files.exists(_manifest_path(path)):
-            state = json.loads(files.read(_manifest_path(path)))
-            files.replace(_manifest_path(path), json.dumps(state | {"invalidated": True, "watermark": 0}))
-            latched = True
+        while files.exists(_manifest_path(path)) and not latched:
+            state = _newest(files, path)
+            latched = state["invalidated"] or _claimed(files, path, state | {"invalidated": True, "watermark": 0, "txn": state["txn"] + 1})
     except Exception as e:
         last = e
     try:
@@ -121,6 +146,8 @@ class Plane:
     def __init__(self, spark: SparkSession, path: str, state: dict):
         self.spark, self.path, self.state = spark, path.rstrip("/"), state
         self.files = Files(spark, path)
+        #: Whether the last flush came after the last change when the plane was opened.
+        self.opened_clean: bool = state["clean"]
 
     # ---- lifecycle ----
 
@@ -144,10 +171,10 @@ class Plane:
             raise PlaneError(f"plane at {path} is stale: remove its marker first")
         state = {
             "version": FORMAT[precision], "precision": precision, "dims": dims, "layer0_cap": layer0_cap, "max_nodes": max_nodes, "key_cap": key_cap,
-            "arena_per_node": arena, "arena_used": 0, "segments": [], "free": None, "edges": None, "shards": 0, "cells": None, "entry": None, "previous_entry": None,
+            "arena_per_node": arena, "arena_used": 0, "segments": [], "free": None, "edges": None, "shards": 0, "linked": 0, "cells": None, "entry": None, "previous_entry": None,
             "high_water": 0, "watermark": 0, "clean": True, "invalidated": False, "txn": 0,
         }
-        if not files.create(_manifest_path(path), json.dumps(state)):
+        if not _claimed(files, path, state):
             raise PlaneError(f"plane at {path} exists")
         return cls(spark, path, state)
 
@@ -158,7 +185,7 @@ class Plane:
             raise PlaneError(f"plane at {path} is invalidated: stale marker")
         if not files.exists(_manifest_path(path)):
             raise PlaneError(f"no plane at {path}")
-        state = json.loads(files.read(_manifest_path(path)))
+        state = _newest(files, path)
         if FORMAT.get(state.get("precision")) != state.get("version"):
             raise PlaneError(f"unsupported plane format {state.get('version')}")
         if state["invalidated"]:
@@ -168,14 +195,14 @@ class Plane:
         return cls(spark, path, state)
 
     def _publish(self, **changes: object) -> None:
-        now = json.loads(self.files.read(_manifest_path(self.path)))
-        if now["invalidated"] or self.files.exists(stale_path_for(self.path)):
+        """Make a change the newest state; it is not clean until a flush."""
+        if self.invalidated:
             self.state["invalidated"] = True
             raise PlaneError(f"plane at {self.path} is invalidated")
-        if now["txn"] != self.state["txn"]:
+        state = self.state | {"clean": False} | changes | {"txn": self.state["txn"] + 1}
+        if not _claimed(self.files, self.path, state):
             raise PlaneError("another writer has changed the plane")
-        self.state = self.state | changes | {"txn": self.state["txn"] + 1}
-        self.files.replace(_manifest_path(self.path), json.dumps(self.state))
+        self.state = state
 
     # ---- properties ----
 
@@ -184,12 +211,10 @@ class Plane:
     layer0_cap = property(lambda self: self.state["layer0_cap"])
     key_cap = property(lambda self: self.state["key_cap"])
     id_high_water = property(lambda self: self.state["high_water"])
-    opened_clean = property(lambda self: self.state["clean"])
 
     @property
     def invalidated(self) -> bool:
-        now = json.loads(self.files.read(_manifest_path(self.path)))
-        return now["invalidated"] or self.files.exists(stale_path_for(self.path))
+        return _newest(self.files, self.path)["invalidated"] or self.files.exists(stale_path_for(self.path))
 
     @property
     def watermark(self) -> int:
@@ -210,7 +235,7 @@ class Plane:
     def meta(self) -> DataFrame:
         s = self.state
         entry = s["entry"] or [None, None]
-        row = (s["version"], s["precision"], s["dims"], s["layer0_cap"], s["max_nodes"], s["key_cap"], entry[0], entry[1], s["high_water"], self.watermark, s["clean"], self.invalidated, s["txn"])
+        row = (s["version"], s["precision"], s["dims"], s["layer0_cap"], s["max_nodes"], s["key_cap"], entry[0], entry[1], s["high_water"], self.watermark, self.opened_clean, self.invalidated, s["txn"])
         return self.spark.createDataFrame([row], "version int, precision string, dims int, layer0_cap int, max_nodes bigint, key_cap int, entry_id bigint, entry_level int, id_high_water bigint, watermark bigint, clean boolean, invalidated boolean, write_epoch bigint")
 
     # ---- tables ----
@@ -223,7 +248,7 @@ class Plane:
         rows = read(*fresh) if fresh else self.spark.createDataFrame([], NODES)
         if not again:
             return rows
-        newest = mutate.latest(read(*again).withColumn("seq", F.col("txn")), "node_id").drop("seq")
+        newest = mutate.latest(read(*again), "node_id", by="txn").select(*rows.columns)
         return rows.join(newest.select("node_id"), "node_id", "left_anti").unionByName(newest)
 
     def free(self) -> DataFrame:
@@ -236,7 +261,8 @@ class Plane:
 
     def _segment(self, df: DataFrame, fresh: bool) -> list[dict]:
         columns = [f.split()[0] for f in NODES.split(", ")]
-        return [*self.state["segments"], {"path": self._written(df.withColumn("txn", F.lit(self.state["txn"] + 1).cast("bigint")).select(*columns), "nodes"), "fresh": fresh}]
+        df = df if "seq" in df.columns else df.withColumn("seq", F.lit(None).cast("bigint"))
+        return [*self.state["segments"], {"path": self._written(df.withColumn("txn", F.lit(self.state["txn"] + 1).cast("bigint")).select(*columns), "nodes"), "fresh": fresh, "txn": self.state["txn"] + 1}]
 
     def _coded(self, df: DataFrame) -> DataFrame:
         coded = search.encoded(df, self.precision)
@@ -245,7 +271,7 @@ class Plane:
     def compact(self) -> None:
         """One segment in place of all; edges to dead nodes go."""
         nodes = self.spark.read.schema(NODES).parquet(self._written(self.nodes(), "nodes"))
-        changes: dict = {"segments": [{"path": nodes.inputFiles()[0].rsplit("/", 1)[0] if nodes.inputFiles() else self._written(nodes, "nodes"), "fresh": True}]}
+        changes: dict = {"segments": [{"path": nodes.inputFiles()[0].rsplit("/", 1)[0] if nodes.inputFiles() else self._written(nodes, "nodes"), "fresh": True, "txn": max((x["txn"] for x in self.state["segments"]), default=0)}]}
         if self.state["edges"]:
             changes["edges"] = self._written(mutate.compacted(self.spark.read.parquet(self.state["edges"]), nodes), "edges")
         self._publish(**changes)
@@ -310,11 +336,19 @@ class Plane:
             entry = [best.node_id, best.level] if best else None
         self._publish(segments=segments, free=free, entry=entry)
 
-    def mirror(self, ops: DataFrame) -> None:
-        """Raw writes (node_id, seq, embedding, key) under the host's ids."""
+    def mirror(self, ops: DataFrame, ordered: bool = False) -> None:
+        """Raw writes (node_id, seq, embedding, key) under the host's ids.
+
+        ``ordered``: ``seq`` is one order over all calls, so a write older than what the node
+        holds is left out (its key still counts if the node has none).
+        """
         self._raw_checked(ops)
+        now = self.nodes()
+        if ordered:
+            held = now.where("seq IS NOT NULL").select("node_id", F.col("seq").alias("held"), F.col("key").isNotNull().alias("keyed"))
+            ops = ops.join(held, "node_id", "left").where("held IS NULL OR seq >= held").drop("held", "keyed")
         new = mutate.latest(ops, "node_id")
-        after = mutate.mirror(self.nodes(), ops).join(new.select("node_id"), "node_id", "left_semi")
+        after = mutate.mirror(now.drop("seq"), ops).join(new.select("node_id", "seq"), "node_id")
         self._write_raw(after)
 
     def mirror_if_absent(self, ops: DataFrame) -> DataFrame:
@@ -331,7 +365,7 @@ class Plane:
             raise PlaneError("a raw write is out of range, of other dims, not finite or has a key that cannot be stored")
 
     def _write_raw(self, rows: DataFrame) -> None:
-        coded = self._coded(rows.select("node_id", "key", "status", "embedding"))
+        coded = self._coded(rows.select("node_id", "key", "status", "embedding", "seq"))
         segments = self._segment(coded, fresh=False)
         written = self.spark.read.schema(NODES).parquet(segments[-1]["path"])
         top = written.agg(F.max("node_id")).first()[0]
@@ -361,43 +395,95 @@ class Plane:
     # ---- search ----
 
     def build_graph(self, shards: int = 1) -> None:
-        self._publish(edges=self._written(graph.build(self.nodes().where("status = 1"), shards, cap=self.layer0_cap), "edges"), shards=shards)
+        """Graphs over all live nodes; more shards than asked for where one would not fit a task."""
+        nodes = self.nodes().where("status = 1")
+        shards = graph.shards_for(nodes, shards)
+        self._publish(edges=self._written(graph.build(nodes, shards, cap=self.layer0_cap), "edges"), shards=shards, linked=self.state["txn"])
 
     def build_cells(self, cells: int) -> None:
         """Centroids and a copy of the live nodes laid out by cell, so that probes prune files."""
         nodes = self.nodes().where("status = 1")
         centre = ivf.fit_cells(nodes, cells)
-        path = f"{self.path}/cells-{self.state['txn'] + 1:08d}"
+        self._publish(cells={"paths": [self._celled(nodes, centre)], "centre": centre.tolist(), "txn": self.state["txn"]})
+
+    def extend_cells(self) -> None:
+        """Put nodes written since into the cells there are; nothing else is read or moved."""
+        cells = self._cells()
+        new = self.nodes().where((F.col("status") == 1) & (F.col("txn") > cells["txn"]))
+        self._publish(cells=cells | {"paths": [*cells["paths"], self._celled(new, np.array(cells["centre"]))], "txn": self.state["txn"]})
+
+    def _cells(self) -> dict:
+        if not self.state["cells"]:
+            raise PlaneError("no cells are built")
+        return self.state["cells"]
+
+    def _celled(self, nodes: DataFrame, centre: np.ndarray) -> str:
+        path = f"{self.path}/cells-{self.state['txn'] + 1:08d}-{uuid.uuid4().hex[:8]}"
         ivf.with_cells(nodes, centre).write.partitionBy("cell").parquet(path)
-        self._publish(cells={"path": path, "centre": centre.tolist()})
+        return path
 
-    def search(self, queries: DataFrame, k: int, *, ef: int | None = None, allowed: DataFrame | bytes | None = None, where: Column | str | None = None, predicate: Callable | None = None, visit_budget: int | None = None, method: str = "exact", metric: str | None = None, nprobe: int = 8) -> DataFrame:
-        """Hits with keys: query_id, rank, node_id, distance, key. ``method``: exact, ivf or graph."""
+    def search(
+        self,
+        queries: DataFrame,
+        k: int,
+        *,
+        ef: int | None = None,
+        allowed: DataFrame | bytes | None = None,
+        where: Column | str | None = None,
+        predicate: Callable | None = None,
+        visit_budget: int | None = None,
+        filter_expansion: int = graph.FILTER_EXPANSION,
+        method: str = "exact",
+        metric: str | None = None,
+        nprobe: int = 8,
+    ) -> DataFrame:
+        """Hits with keys: query_id, rank, node_id, distance, key. ``method``: exact, ivf or graph.
+
+        Nodes written since the graph or the cells were built are searched exactly, and the hits
+        merged, so no write is missed. A filtered search of a graph visits ``ef *
+        filter_expansion`` nodes at most unless ``visit_budget`` (1 at least) says otherwise.
+        """
         if self.invalidated:
             raise PlaneError(f"plane at {self.path} is invalidated")
         queries = search.check_dims(queries, self.dims)
         nodes = self.nodes()
         if where is not None:
             nodes = nodes.where(where)
+        if method == "exact":
+            hits = search.knn(nodes, queries, k, ef=ef, allowed=allowed, predicate=predicate, metric=metric or self.precision)
+            return self._with_keys(hits)
+        filtered = allowed is not None or predicate is not None or where is not None
+        admitted = search.allow(nodes.where("status = 1"), allowed)
+        admitted = search.judged(admitted, predicate) if predicate is not None else admitted
         if method == "graph":
             if not self.state["edges"]:
                 raise PlaneError("no graph is built")
-            if predicate is not None:
-                allowed = search.judged(nodes, predicate).select("node_id")
-            ids = search.allow(nodes.select("node_id", "key"), allowed).select("node_id") if allowed is not None or where is not None else None
-            hits = graph.search(self.nodes(), self.spark.read.parquet(self.state["edges"]), queries, k, ef or 128, self.state["shards"], allowed=ids, budget=visit_budget)
+            ef, since = ef or 128, self.state["linked"]
+            budget = max(visit_budget, 1) if visit_budget is not None else ef * filter_expansion if filtered else None
+            entry = self.state["entry"]
+            hits = graph.search(
+                self.nodes(), self.spark.read.parquet(self.state["edges"]), queries, k, ef, self.state["shards"], allowed=admitted.select("node_id") if filtered else None, budget=budget, entry=entry[0] if entry else None
+            )
+            metric = "exact"
         elif method == "ivf":
-            import numpy as np
-
-            if not self.state["cells"]:
-                raise PlaneError("no cells are built")
-            cells = self.spark.read.parquet(self.state["cells"]["path"])
-            alive = search.allow(nodes.where("status = 1"), allowed)
-            alive = search.judged(alive, predicate) if predicate is not None else alive
-            cells = cells.join(alive.select("node_id", "txn"), ["node_id", "txn"], "left_semi")
-            hits = ivf.search(cells, queries, np.array(self.state["cells"]["centre"]), k, nprobe, metric or "exact")
+            cells = self._cells()
+            metric, since = metric or "exact", cells["txn"]
+            rows = self.spark.read.schema(f"{NODES}, cell int")
+            parts = [rows.parquet(path) for path in cells["paths"]]
+            every = parts[0]
+            for part in parts[1:]:
+                every = every.unionByName(part)
+            hits = ivf.search(every.join(admitted.select("node_id", "txn"), ["node_id", "txn"], "left_semi"), queries, np.array(cells["centre"]), k, nprobe, metric)
         else:
-            hits = search.knn(nodes, queries, k, ef=ef, allowed=allowed, predicate=predicate, metric=metric or self.precision)
+            raise PlaneError(f"unknown method {method!r}")
+        if any(s["txn"] > since for s in self.state["segments"]):
+            late = search.knn(admitted.where(F.col("txn") > since), queries, k, ef=ef, metric=metric)
+            # A rewritten node may come both ways.
+            both = hits.unionByName(late).groupBy("query_id", "node_id").agg(F.min("distance").alias("distance"))
+            hits = search.top(both, min(k, max(ef, 1)) if ef is not None else k)
+        return self._with_keys(hits)
+
+    def _with_keys(self, hits: DataFrame) -> DataFrame:
         return search.gather_keys(hits, self.nodes()).select("query_id", "rank", "node_id", "distance", "key")
 
     def search_sync(self, queries: DataFrame, k: int, ef: int | None = None) -> list[Row]:

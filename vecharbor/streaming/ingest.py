@@ -2,7 +2,8 @@
 
 The plane's watermark is the last batch whose rows are durable: a batch at or below it is
 skipped. Rows and watermark are published by one manifest rename each, rows first; a batch cut
-between the two is replayed as mirror writes, which give the same table again.
+between the two is replayed as mirror writes, which give the same table again. ``seq`` is one
+order over all batches: a row that comes late does not overwrite a newer one.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ def apply_batch(plane: Plane, rows: DataFrame, batch_id: int) -> bool:
     if batch_id + 1 <= plane.watermark:
         return False
     if not rows.isEmpty():
-        plane.mirror(rows)
+        plane.mirror(rows, ordered=True)
     plane.flush(watermark=batch_id + 1)
     return True
 
 
 def ingest(plane: Plane, stream: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
-    """Start ingesting ``stream``; one query a plane, as a plane has one writer."""
+    """Start ingesting ``stream``; one query a plane, as a plane has one writer.
+
+    Rows come in chunks in order if the source bounds them (``maxFilesPerTrigger`` of a file source).
+    """
 
     def each(rows: DataFrame, batch_id: int) -> None:
         apply_batch(plane, rows, batch_id)
