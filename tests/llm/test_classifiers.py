@@ -67,6 +67,10 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark, docs, labels):
     other = labels.withColumn("quality", F.when(crc_remainder("doc_id", 4) == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = quality.fit(docs, labels), quality.fit(docs, other)
     assert (a.labels == b.labels).all() and (a.vectors == b.vectors).all()
+    other = labels.withColumn("toxic", F.when(crc_remainder("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert other.join(labels, ["doc_id", "toxic"], "left_anti").count() > 10
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs, other)
+    assert (a.weight == b.weight).all() and (a.bias, a.slope, a.shift) == (b.bias, b.slope, b.shift)
 
 
 def test_votes_match_a_plain_computation(docs, labels):
@@ -95,6 +99,41 @@ def test_equal_neighbours_share_the_last_places():
     assert model.scores([b"x", b"y"]) == pytest.approx([(10 + 0.6 * 2.5) / (10 + 0.6 * 5)] * 2)
 
 
+def plain_kernel(u, v):
+    """Shared picks of three symbols in order, from spans of at most SPAN, each gap symbol costing DECAY."""
+
+    def picks(word):
+        x, out = toxicity._symbols(word), {}
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(x))):
+                    out[x[i], x[j], x[k]] = out.get((x[i], x[j], x[k]), 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    def norm(word):
+        x = range(len(word) + 2)
+        return max(sum(toxicity.DECAY ** (2 * (k - i - 2)) for i in x for j in x for k in x if i < j < k < i + toxicity.SPAN), 1) ** 0.5
+
+    a, b = picks(u), picks(v)
+    return sum(n * b.get(s, 0) for s, n in a.items()) / norm(u) / norm(v)
+
+
+def test_kernel_and_landmarks_match_a_plain_computation():
+    words = ["idiot", "idxiot", "moron", "a", "", "réeuxment", "worthless", "theanering", "ab", "überß"]
+    table = toxicity._dense(words)
+    kernel = table.T @ table
+    want = np.array([[plain_kernel(u, v) for v in words] for u in words])
+    assert np.allclose(kernel, want, atol=1e-5)
+    assert want[0, 1] > want[0, 2]
+    # Coordinates by landmarks give the kernel back among the landmarks themselves.
+    mapped = toxicity._features(words, toxicity._nystroem(words))
+    assert np.allclose(mapped @ mapped.T, want, atol=1e-3)
+    # The folded table decides as the machine over coordinates does.
+    w = np.linspace(-1, 1, mapped.shape[1])
+    model = toxicity.Model(weight=(toxicity._nystroem(words) @ w).astype(float), bias=0.25)
+    assert np.allclose(model.decide(words), mapped @ w + 0.25, atol=1e-4)
+
+
 def test_kernel_bears_inserted_characters():
     insults = ["idiot", "moron", "stupid", "worthless"]
     fine = "the a of and station river mountain garden window market paper letter stone street winter summer music teacher".split()
@@ -103,7 +142,7 @@ def test_kernel_bears_inserted_characters():
     model = toxicity.train(bags)
     bad = model.scores(["you idiot", "an id-iot", "st.upid", "worthlxess", "a m o r o n b"])
     good = model.scores(["the station", "a garden of paper", ""])
-    assert min(bad[:4]) > max(good)
+    assert min(bad) > max(good)
 
 
 def test_explaining_units_are_insults_not_words_that_copies_share():

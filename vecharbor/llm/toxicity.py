@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import as_texts, crc_remainder, keep_rows, labelled_texts, map_texts
 
+# Settings hold up in cross-validation within the folds whose labels may be learned.
 MAX_TOXIC = 1500
 MAX_CLEAN = 3000
 #: Units without the label to begin with, by hash.
@@ -386,7 +387,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3,
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and score of each row; null and empty texts score as the empty word does."""
+    """doc_id and score of each row; null and empty texts score as the empty word does.
+
+    Equal texts score alike, repeated rows give repeated rows (also without a doc_id), an empty
+    table none. Texts are read whole; columns other than doc_id and text are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -401,7 +406,10 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows whose score stays below the threshold, with all their columns."""
+    """Rows whose score stays below the threshold, with all their columns, whatever these are called.
+
+    Rows are judged as ``scored`` judges them, repeated ones each; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
