@@ -25,11 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder takes its place.
+    Without that setting a local session takes a temporary folder; on a cluster, whose machines
+    share none, that is an error.
     """
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(app)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = _OWN[app] = tempfile.mkdtemp(prefix="vecharbor-")
     return folder
 
