@@ -237,7 +237,8 @@ def _classes(docs: DataFrame, group_limit: int) -> DataFrame:
     heads = stars.select(F.col("root").alias("fp")).distinct().select("fp", F.col("fp").alias("root"))
     members = stars.select(F.col("u").alias("fp"), "root").unionByName(heads)
     ids = members.join(least, "fp").groupBy("root").agg(F.min("least_id").alias("component_id"))
-    salts = ids.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt"))
+    # The parts leave the task that made them, so that members of one root are found in many tasks.
+    salts = ids.select("root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt")).repartition("root", "salt")
     linked = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(ROOT_SALTS)).cast("int")).join(salts, ["root", "salt"]).select("fp", "root", "component_id")
     named = least.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
     # Read back from a table, both sides of the join are plain exchanges, so that the rows of a
