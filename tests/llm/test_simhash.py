@@ -76,12 +76,20 @@ def test_one_row_of_each_component_stays(odd):
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
     ids = sorted((r.doc_id is not None, r.doc_id) for r in kept.collect())
-    found = simhash._classes(odd, 4096).select("root").distinct().count()
+    found = simhash._classes(simhash.with_fingerprints(odd), 4096).select("root").distinct().count()
     assert len(ids) == found
     assert [x for x in ids if x[1] in (1, 2, 3, 4, 5)] == [(True, 1), (True, 3)]
     assert sum(1 for x in ids if x[1] == 6) == 2
 
 
+def test_copies_of_one_row_leave_one(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "REMEMBERED", 3)
+    rows = [(None, "same text without an id")] * 90 + [(4, "one two three four")] * 200 + [(4, "quite another text here")] * 2 + [(i, f"own text {i * 7919} of {i * 104729} row") for i in range(10, 40)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    kept = sorted((r.doc_id or -1, r.text) for r in simhash.one_of_each(frame).collect())
+    assert kept == sorted({(i or -1, t) for i, t in rows})
+
+
 def test_empty_table(none):
     assert simhash.near_duplicates(none).count() == 0
     assert simhash.one_of_each(none).count() == 0

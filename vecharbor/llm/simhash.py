@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import as_bytes, map_texts, materialize, slices, unused
 
@@ -37,6 +38,8 @@ FRONTIER = 1 << 20
 ROOT_SALTS = 16
 #: Hot group ids are broadcast up to this many.
 HOT_BROADCAST = 100_000
+#: Rows whose repeats a task drops before it forgets them.
+REMEMBERED = 200_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -228,9 +231,9 @@ def star_components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def _classes(docs: DataFrame, group_limit: int) -> DataFrame:
-    """(doc_id, fp, root, component_id) of each row; ``root`` names the component by its least fingerprint."""
-    sims = materialize(with_fingerprints(docs), "simhash-fps")
+def _classes(sims: DataFrame, group_limit: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) of each row of ``sims`` (doc_id, fp), a table that is read
+    twice; ``root`` names the component by its least fingerprint."""
     least = sims.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     stars = star_components(links(least.select("fp"), group_limit))
     # Only linked fingerprints take part in joins by root; a root of many members is salted.
@@ -254,43 +257,55 @@ def near_duplicates(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFram
     all doc_ids of the component are null). An empty table gives an empty result; columns
     other than doc_id and text are not read.
     """
-    return _classes(docs, group_limit).drop("root")
+    return _classes(materialize(with_fingerprints(docs), "simhash-fps"), group_limit).drop("root")
+
+
+def _with_first_rows(docs: DataFrame, fp: str) -> DataFrame:
+    """Rows of ``docs`` with their fingerprint as ``fp``; of rows that share doc_id and fingerprint
+    each task drops repeats it still remembers, so that copies of a row are not all shuffled."""
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int | None, int]] = set()
+        for batch in slices(batches, "text"):
+            fps = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], dtype=np.uint64).view(np.int64)
+            keys = list(zip(batch.column("doc_id").to_pylist(), fps.tolist(), strict=True))
+            keep = [not (k in seen or seen.add(k)) for k in keys]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, fp])
+            yield whole.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
 
 
 def one_of_each(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row of ``docs`` for each component: one with the least doc_id; all columns stay.
 
-    A component without any doc_id keeps one row too. The kept ids travel to the rows in one
-    shuffle by doc_id, each ahead of the rows with that id.
+    Null and empty texts have fingerprint zero. A component without any doc_id keeps one row too;
+    of equal doc_ids and fingerprints any one row stays; an empty table stays empty. Columns may
+    have any names. Fingerprints are computed once and written beside the rows. The kept
+    (doc_id, fingerprint) pairs travel to the rows in one shuffle by both, each ahead of its rows.
     """
     names = docs.columns
-    first = (
-        _classes(docs, group_limit)
-        .where("doc_id <=> component_id")
-        .groupBy("root", "doc_id")
-        .agg(F.min("fp").alias("fp"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("fp").alias("fps"))
-    )
-    tag, fps = (unused(x, names) for x in ("fps_first", "fps"))
-    rows = docs.select("*", F.lit(1).alias(tag), F.lit(None).cast("array<bigint>").alias(fps))
-    marks = first.select(*("doc_id" if c == "doc_id" else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), F.lit(0).alias(tag), F.col("fps").alias(fps))
+    fp = unused("fp", names)
+    tag = unused("fp_first", [*names, fp])
+    rows = materialize(_with_first_rows(docs, fp), "simhash-rows")
+    sims = rows.select("doc_id", F.col(fp).alias("fp"))
+    first = _classes(sims, group_limit).where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.min("fp").alias("fp"))
+    marks = first.select(*(F.col("doc_id") if c == "doc_id" else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in names), F.col("fp").alias(fp), F.lit(0).alias(tag))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, open_fps = object(), set()
+        now, wanted = None, False
         for batch in slices(batches, "text"):
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", tag, fps))
             keep = []
-            for (doc_id, kind, marked), text in zip(zip(*columns, strict=True), as_bytes(batch.column("text")), strict=True):
-                if doc_id != now:
-                    now, open_fps = doc_id, set()
-                if not kind:
-                    open_fps.update(marked)
-                    keep.append(False)
-                    continue
-                fp = int(np.uint64(fingerprint(text)).view(np.int64)) if open_fps else None
-                keep.append(fp in open_fps)
-                open_fps.discard(fp)
+            for doc_id, value, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", fp, tag)), strict=True):
+                if (doc_id, value) != now:
+                    now, wanted = (doc_id, value), False
+                keep.append(bool(kind) and wanted)
+                # The mark asks for one row, the first that follows it.
+                wanted = not kind
             yield batch.filter(pa.array(keep, type=pa.bool_())).select(names)
 
-    return rows.unionByName(marks).repartition("doc_id").sortWithinPartitions("doc_id", tag).mapInArrow(run, docs.schema)
+    both = rows.withColumn(tag, F.lit(1)).unionByName(marks)
+    return both.repartition("doc_id", fp).sortWithinPartitions("doc_id", fp, tag).mapInArrow(run, docs.schema)
