@@ -386,6 +386,21 @@ def test_sql_functions(spark):
     assert (row.d, row.c, row.l) == (1.0, [127, -64], 2)
 
 
+def test_knn_in_sql(spark, mixture):
+    from vecharbor.functions.registry import register
+
+    register(spark)
+    nodes = sources.nodes_of(mixture).repartition(5)
+    nodes.createOrReplaceTempView("nodes_for_knn")
+    q = mixture.where("vec_id = 17").first().embedding
+    text = ", ".join(f"CAST({x!r} AS FLOAT)" for x in q)
+    got = spark.sql(f"SELECT * FROM knn(TABLE(SELECT node_id, embedding FROM nodes_for_knn), array({text}), 10) ORDER BY distance, node_id LIMIT 10").collect()
+    want = search.knn(nodes, spark.createDataFrame([(0, q)], "query_id bigint, embedding array<float>"), 10).orderBy("rank").collect()
+    assert [r.node_id for r in got] == [r.node_id for r in want] and got[0].node_id == 17
+    assert [r.distance for r in got] == pytest.approx([r.distance for r in want], abs=1e-6)
+    assert spark.sql("SELECT * FROM knn(TABLE(SELECT node_id, embedding FROM nodes_for_knn), array(1f), 10)").isEmpty()
+
+
 def test_cells_of_few_nodes(spark):
     nodes = sources.nodes_of(sources.gaussian_mixture(spark, 3, 4))
     centre = ivf.fit_cells(nodes, 8)
