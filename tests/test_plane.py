@@ -103,6 +103,76 @@ def test_mirror_keeps_keys_and_the_newest_write(spark, plane):
         plane.mirror(spark.createDataFrame([(100, 0, axis(0), None)], ops))
 
 
+RAW_LINKS = "node_id bigint, seq bigint, code array<smallint>, scale float, level int, neighbors array<bigint>, upper array<array<bigint>>, key binary"
+
+
+def test_raw_writes_keep_the_hosts_codes_levels_and_links(spark, tmp_path):
+    plane = Plane.create(spark, str(tmp_path / "p"), 2, max_nodes=20, layer0_cap=2, key_cap=8)
+
+    def write(node_id, code, level, neighbors, upper, seq=0):
+        plane.mirror(spark.createDataFrame([(node_id, seq, code, 0.5, level, neighbors, upper, None)], RAW_LINKS))
+
+    def links(node_id):
+        return sorted((r.level, r.pos, r.dst) for r in plane.links().where(F.col("src") == node_id).collect())
+
+    write(9, [3, -4], 1, [1, 2, 3], [[7]])
+    row = plane.nodes().first()
+    assert (row.code, row.scale, row.embedding, row.level) == ([3, -4], 0.5, [1.5, -2.0], 1) and math.isclose(row.inv_mag, 1 / 2.5)
+    assert links(9) == [(0, 1, 1), (0, 2, 2), (1, 1, 7)]
+    # A rewrite at the lowest level leaves nothing of the layers above.
+    write(9, [127, 0], 0, [], [], seq=1)
+    assert links(9) == [] and plane.nodes().first().level == 0
+    for bad in ((20, [1, 1], 0, [], []), (1, [128, 1], 0, [], []), (1, [1, 1], 0, [20], []), (1, [1, 1], 1, [], [[-1]])):
+        with pytest.raises(PlaneError, match="range"):
+            write(*bad)
+    first = spark.createDataFrame([(9, 0, [1, 1], 1.0, 0, [], [], None), (4, 0, [1, 1], 1.0, 0, [9], None, b"k")], RAW_LINKS)
+    assert {r.node_id for r in plane.mirror_if_absent(first).where("written").collect()} == {4}
+    assert links(4) == [(0, 1, 9)]
+
+
+def test_search_follows_the_hosts_links(spark, tmp_path, mixture):
+    plane = Plane.create(spark, str(tmp_path / "p"), 16, max_nodes=1000, key_cap=8)
+    nodes = mixture.where("vec_id < 200").select(F.col("vec_id").alias("node_id"), F.lit(0).alias("seq"), "embedding").cache()
+    near = graph.reversed_capped(graph.knn_edges(nodes, 10), 40).groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("neighbors"))
+    # A ring over all nodes, so that every one can be reached.
+    ring = F.array(((F.col("node_id") + 1) % 200).cast("bigint"))
+    plane.mirror(nodes.join(near, F.col("src") == F.col("node_id")).select("node_id", "seq", "embedding", F.concat("neighbors", ring).alias("neighbors")))
+    queries = nodes.where("node_id % 10 = 0").select(F.col("node_id").alias("query_id"), "embedding")
+    truth = plane.search(queries, 5, metric="exact")
+    assert reports.recall(truth, plane.search(queries, 5, method="links", ef=40)).first().recall >= 0.95
+    # Deleted nodes and nodes that are filtered out lead on; a node without links is found too.
+    plane.clear_nodes(queries.select(F.col("query_id").alias("node_id")))
+    plane.mirror(queries.where("query_id = 30").select((F.col("query_id") + 200).alias("node_id"), F.lit(1).alias("seq"), "embedding"))
+    got = plane.search(queries, 5, method="links", ef=40, where="node_id % 2 = 0").collect()
+    want = plane.search(queries, 5, metric="exact", where="node_id % 2 = 0").collect()
+    assert all(r.node_id % 10 or r.node_id == 230 for r in got) and all(r.node_id % 2 == 0 for r in got)
+    assert (30, 1, 230) in {(r.query_id, r.rank, r.node_id) for r in got}
+    assert len({(r.query_id, r.node_id) for r in got} & {(r.query_id, r.node_id) for r in want}) >= 0.95 * len(want)
+
+
+def test_room_of_long_keys_is_given_back(spark, tmp_path):
+    plane = Plane.create(spark, str(tmp_path / "p"), 4, max_nodes=8, key_cap=8)
+    raw = "node_id bigint, seq bigint, embedding array<float>, key binary"
+    for i in range(2):
+        plane.mirror(spark.createDataFrame([(0, i, axis(i), bytes([97 + i]) * 200)], raw))
+        assert plane.state["arena_used"] == 256
+    plane.mirror(spark.createDataFrame([(0, 3, axis(0), b"y" * 300)], raw))
+    plane.mirror(spark.createDataFrame([(0, 4, axis(0), None)], raw))
+    assert plane.state["arena_used"] == 320
+    # Four nodes of 256 bytes fit 1,024; a fifth does not, and is not written.
+    with pytest.raises(PlaneError, match="long keys"):
+        plane.mirror(spark.createDataFrame([(i, 5, axis(i), b"z" * 200) for i in range(5)], raw))
+    assert plane.nodes().count() == 1 and plane.state["arena_used"] == 320
+    plane.clear_nodes(spark.createDataFrame([(0,), (7,)], "node_id bigint"))
+    plane.clear_nodes(spark.createDataFrame([(0,)], "node_id bigint"))
+    assert plane.state["arena_used"] == 0
+    other = Plane.create(spark, str(tmp_path / "q"), 4, max_nodes=8, key_cap=8)
+    for i in range(2):
+        assert other.insert(axis(i), b"k" * 700) == 0
+        other.remove(spark.createDataFrame([(0, i)], "node_id bigint, seq bigint"))
+    assert other.state["arena_used"] == 0
+
+
 def test_lifecycle(spark, tmp_path, plane):
     plane.flush(7)
     plane.flush()
@@ -215,6 +285,18 @@ def test_late_stream_rows_do_not_overwrite_newer_ones(spark, plane):
     assert got == {1: (axis(1), b"a", 10), 2: (axis(3), None, 4), 3: (axis(0), None, 1)}
 
 
+def test_a_late_key_counts_where_it_is_the_newest(spark, plane):
+    schema = "node_id bigint, seq bigint, embedding array<float>, key binary"
+    apply_batch(plane, spark.createDataFrame([(1, 10, axis(1), None), (2, 10, axis(2), None), (2, 5, axis(0), b"c"), (3, 10, axis(3), None)], schema), 0)
+    apply_batch(plane, spark.createDataFrame([(1, 8, axis(3), b"a"), (1, 9, axis(2), None), (2, 4, axis(3), b"old"), (3, 12, axis(0), None), (3, 9, axis(1), b"d")], schema), 1)
+    apply_batch(plane, spark.createDataFrame([(1, 7, axis(0), b"old")], schema), 2)
+    got = {r.node_id: (r.embedding, bytes(r.key), r.seq, r.key_seq) for r in plane.nodes().collect()}
+    assert got == {1: (axis(1), b"a", 10, 8), 2: (axis(2), b"c", 10, 5), 3: (axis(0), b"d", 12, 9)}
+    plane.clear_nodes(spark.createDataFrame([(3,)], "node_id bigint"))
+    apply_batch(plane, spark.createDataFrame([(3, 11, axis(1), b"e")], schema), 3)
+    assert plane.nodes().where("node_id = 3").first().status == 2
+
+
 def test_arena_matches_a_fold(spark):
     rng = np.random.default_rng(8)
     for room, most in ((5_000, 600), (40_000, 3_000), (64, 200), (0, 200), (10**7, 900)):

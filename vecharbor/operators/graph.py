@@ -346,27 +346,32 @@ def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFra
     return both.select("src", pos.alias("pos"), "dst", "distance")
 
 
-def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, k: int, ef: int) -> DataFrame:
-    """Beam search as joins: each round expands what is not yet expanded of the best ``ef``,
-    until nothing is left to expand.
+def beam_rounds(nodes: DataFrame, edges: DataFrame, queries: DataFrame, start: DataFrame, k: int, ef: int, allowed: DataFrame | None = None) -> DataFrame:
+    """Beam search as joins: each round expands what is not yet expanded and has fewer than ``ef``
+    possible hits before it, until nothing is left to expand.
 
-    Lineage is cut each round by a checkpoint in the shared folder. Visits a superset of the
-    sequential beam's nodes.
+    Deleted nodes, and nodes not in ``allowed``, lead on, but are no hits. Lineage is cut each
+    round by a checkpoint in the shared folder. Visits a superset of the sequential beam's nodes.
     """
-    vector = live(nodes).select("node_id", F.col("embedding").alias("v"))
+    ok = F.col("status") == 1 if "status" in nodes.columns else F.lit(True)
+    vector = nodes.where("embedding IS NOT NULL").select("node_id", F.col("embedding").alias("v"), ok.alias("ok"))
+    if allowed is not None:
+        vector = vector.join(allowed.select("node_id", F.lit(True).alias("may")).distinct(), "node_id", "left").withColumn("ok", F.col("ok") & F.coalesce("may", F.lit(False))).drop("may")
     asked = queries.select("query_id", F.col("embedding").alias("q"))
 
     def scored(pairs: DataFrame) -> DataFrame:
         joined = pairs.join(vector, "node_id").join(asked, "query_id")
-        return joined.select("query_id", "node_id", vectors.cosine_distance("q", "v").alias("distance"))
+        return joined.select("query_id", "node_id", "ok", vectors.cosine_distance("q", "v").alias("distance"))
 
+    nearer = Window.partitionBy("query_id").orderBy("distance", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("ok").cast("int")).over(nearer), F.lit(0))
     visited = scored(queries.select("query_id").crossJoin(F.broadcast(start.select("node_id").limit(DESCENT_WIDTH)))).withColumn("done", F.lit(False)).checkpoint()
     while True:
-        best = visited.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "node_id")))
-        frontier = best.where((F.col("rank") <= ef) & ~F.col("done")).select("query_id", "node_id").checkpoint()
+        best = visited.withColumn("before", before)
+        frontier = best.where((F.col("before") < ef) & ~F.col("done")).select("query_id", "node_id").checkpoint()
         if frontier.isEmpty():
             break
         found = scored(unvisited(expand(frontier, edges), visited)).withColumn("done", F.lit(False))
-        marked = visited.join(frontier.withColumn("now", F.lit(True)), ["query_id", "node_id"], "left").select("query_id", "node_id", "distance", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        marked = visited.join(frontier.withColumn("now", F.lit(True)), ["query_id", "node_id"], "left").select("query_id", "node_id", "ok", "distance", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         visited = marked.unionByName(found).checkpoint()
-    return top(visited.select("query_id", "node_id", "distance"), k)
+    return top(visited.where("ok").select("query_id", "node_id", "distance"), k)

@@ -24,7 +24,9 @@ from ..functions import vectors
 from ..operators import graph, ivf, mutate, search
 
 FORMAT = {"int8": 8, "int16": 9}
-NODES = "node_id bigint, key binary, status int, level int, embedding array<float>, code array<smallint>, scale float, inv_mag double, seq bigint, txn bigint"
+NODES = "node_id bigint, key binary, status int, level int, embedding array<float>, code array<smallint>, scale float, inv_mag double, seq bigint, key_seq bigint, links array<array<bigint>>, txn bigint"
+#: Columns of a raw write; those that a call leaves out are null.
+RAW = "node_id bigint, seq bigint, embedding array<float>, key binary, code array<smallint>, scale float, inv_mag double, level int, neighbors array<bigint>, upper array<array<bigint>>"
 FREE = "node_id bigint, seq bigint"
 MAX_DIMS = 65_535
 
@@ -102,6 +104,12 @@ def stale_path_for(path: str) -> str:
     return path.rstrip("/") + ".stale"
 
 
+def _filled(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, null where ``df`` lacks them."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    return df.select(*((F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name) for name, kind in fields))
+
+
 def _manifest_path(path: str, txn: int | None = None) -> str:
     """The manifest of a number; without one, the file that names a number to begin at."""
     return path.rstrip("/") + ("/_manifest.json" if txn is None else f"/_manifest-{txn:012d}.json")
@@ -251,6 +259,11 @@ class Plane:
         newest = mutate.latest(read(*again), "node_id", by="txn").select(*rows.columns)
         return rows.join(newest.select("node_id"), "node_id", "left_anti").unionByName(newest)
 
+    def links(self) -> DataFrame:
+        """(level, src, pos, dst) of the links that raw writes gave."""
+        layers = self.nodes().select(F.col("node_id").alias("src"), F.posexplode("links").alias("level", "ends"))
+        return layers.select("level", "src", F.posexplode("ends").alias("pos", "dst")).withColumn("pos", F.col("pos") + 1)
+
     def free(self) -> DataFrame:
         return self.spark.read.schema(FREE).parquet(self.state["free"]) if self.state["free"] else self.spark.createDataFrame([], FREE)
 
@@ -260,9 +273,15 @@ class Plane:
         return path
 
     def _segment(self, df: DataFrame, fresh: bool) -> list[dict]:
-        columns = [f.split()[0] for f in NODES.split(", ")]
-        df = df if "seq" in df.columns else df.withColumn("seq", F.lit(None).cast("bigint"))
-        return [*self.state["segments"], {"path": self._written(df.withColumn("txn", F.lit(self.state["txn"] + 1).cast("bigint")).select(*columns), "nodes"), "fresh": fresh, "txn": self.state["txn"] + 1}]
+        rows = _filled(df.withColumn("txn", F.lit(self.state["txn"] + 1).cast("bigint")), NODES)
+        return [*self.state["segments"], {"path": self._written(rows, "nodes"), "fresh": fresh, "txn": self.state["txn"] + 1}]
+
+    def _room(self, nodes: DataFrame) -> int:
+        """Bytes that the long keys of ``nodes``, some of the plane's own, take."""
+        if not self.state["arena_used"]:
+            return 0
+        long = nodes.where(F.octet_length("key") > self.key_cap)
+        return long.agg(F.coalesce(F.sum(mutate.key_bytes()), F.lit(0))).first()[0]
 
     def _coded(self, df: DataFrame) -> DataFrame:
         coded = search.encoded(df, self.precision)
@@ -290,8 +309,7 @@ class Plane:
         path = self._written(outcome, "outcome")
         outcome = self.spark.read.schema(outcome.schema).parquet(path)
         landed = outcome.where("node_id IS NOT NULL").select("node_id", "key", F.lit(1).alias("status"), "embedding")
-        size = mutate.KEY_CLASS * F.ceil(F.octet_length("key") / mutate.KEY_CLASS)
-        sums = landed.agg(F.count("*").alias("n"), F.max("node_id").alias("top"), F.sum(F.when(F.octet_length("key") > s["key_cap"], size)).alias("bytes"), F.count(F.when(F.col("node_id") < s["high_water"], 1)).alias("reused")).first()
+        sums = landed.agg(F.count("*").alias("n"), F.max("node_id").alias("top"), F.sum(F.when(F.octet_length("key") > s["key_cap"], mutate.key_bytes())).alias("bytes"), F.count(F.when(F.col("node_id") < s["high_water"], 1)).alias("reused")).first()
         if sums.n:
             left = free.join(landed.select("node_id"), "node_id", "left_anti") if sums.reused else free
             nodes = self._coded(landed)
@@ -319,7 +337,7 @@ class Plane:
         return out.node_id
 
     def remove(self, ids: DataFrame) -> None:
-        """Delete nodes (node_id, optionally seq); unknown ids are ignored."""
+        """Delete nodes (node_id, optionally seq); unknown ids are ignored. Room of long keys is given back."""
         ids = ids if "seq" in ids.columns else mutate.running(ids, "node_id", "seq")
         marked, freed = mutate.delete(self.nodes(), ids)
         freed = self.spark.read.schema(FREE).parquet(self._written(freed.select("node_id", F.col("seq").cast("bigint")), "freed"))
@@ -334,52 +352,86 @@ class Plane:
         if entry and not freed.where(F.col("node_id") == entry[0]).isEmpty():
             best = mutate.elect_entry(self.nodes().join(freed.select("node_id"), "node_id", "left_anti")).first()
             entry = [best.node_id, best.level] if best else None
-        self._publish(segments=segments, free=free, entry=entry)
+        gone = self.spark.read.schema(NODES).parquet(segments[-1]["path"])
+        self._publish(segments=segments, free=free, entry=entry, arena_used=self.state["arena_used"] - self._room(gone))
 
     def mirror(self, ops: DataFrame, ordered: bool = False) -> None:
-        """Raw writes (node_id, seq, embedding, key) under the host's ids.
+        """Raw writes under the host's ids: the columns of ``RAW``, of which node_id, seq and a vector are needed.
+
+        A vector comes as ``embedding``, or in the plane's codec as ``code`` with ``scale`` and,
+        if known, ``inv_mag``; without ``level`` a node has the level of its id's hash.
+        ``neighbors`` (of the lowest layer) and ``upper`` (of the layers above) replace all the
+        links the node had. Without a key the node keeps the one it has.
 
-        ``ordered``: ``seq`` is one order over all calls, so a write older than what the node
-        holds is left out (its key still counts if the node has none).
+        ``ordered``: ``seq`` is one order over all calls, so what is older than the node's vector
+        or key does not replace it.
         """
-        self._raw_checked(ops)
+        ops = self._raw(ops)
         now = self.nodes()
         if ordered:
-            held = now.where("seq IS NOT NULL").select("node_id", F.col("seq").alias("held"), F.col("key").isNotNull().alias("keyed"))
-            ops = ops.join(held, "node_id", "left").where("held IS NULL OR seq >= held").drop("held", "keyed")
-        new = mutate.latest(ops, "node_id")
-        after = mutate.mirror(now.drop("seq"), ops).join(new.select("node_id", "seq"), "node_id")
-        self._write_raw(after)
+            ops = self._in_order(ops, now)
+        last = ops.groupBy("node_id").agg(F.max("seq").alias("seq"), F.max(F.when(F.col("key").isNotNull(), F.col("seq"))).alias("key_seq"))
+        held = now.select("node_id", F.col("seq").alias("held"), F.col("key_seq").alias("key_held"))
+        stamp = last.join(held, "node_id", "left").select("node_id", (F.greatest("seq", "held") if ordered else F.col("seq")).alias("seq"), F.coalesce("key_seq", "key_held").alias("key_seq"))
+        self._write_raw(mutate.mirror(now.drop("seq", "key_seq"), ops).join(stamp, "node_id"))
 
     def mirror_if_absent(self, ops: DataFrame) -> DataFrame:
         """Raw writes to ids never touched; returns node_id, seq and written of each."""
-        self._raw_checked(ops)
-        verdict = mutate.if_absent(self.nodes(), ops)
+        verdict = mutate.if_absent(self.nodes(), self._raw(ops))
         verdict = self.spark.read.schema(verdict.schema).parquet(self._written(verdict, "outcome"))
-        self._write_raw(verdict.where("written").withColumn("status", F.lit(1)))
+        rows = verdict.where("written").withColumn("status", F.lit(1)).withColumn("key_seq", F.when(F.col("key").isNotNull(), F.col("seq")))
+        self._write_raw(rows)
         return verdict.select("node_id", "seq", "written")
 
-    def _raw_checked(self, ops: DataFrame) -> None:
-        bad = ops.where((F.col("node_id") < 0) | (F.col("node_id") >= self.state["max_nodes"]) | mutate.record_fault(self.dims, self.key_cap).isNotNull())
-        if not bad.isEmpty():
+    def _raw(self, ops: DataFrame) -> DataFrame:
+        """Raw writes with all their columns, checked; links as one list of lists, lowest layer first."""
+        ops = _filled(ops, RAW)
+        ops = ops.withColumn("embedding", F.when(F.col("code").isNotNull(), vectors.decoded("code", "scale").cast("array<float>")).otherwise(F.col("embedding")))
+        upper = F.coalesce("upper", F.array().cast("array<array<bigint>>"))
+        every = ops.withColumn("neighbors", F.concat(F.coalesce("neighbors", F.array().cast("array<bigint>")), F.flatten(upper)))
+        given = F.when(F.col("code").isNotNull(), mutate.raw_fault(self.dims, self.state["max_nodes"], self.precision))
+        away = (F.col("node_id") < 0) | (F.col("node_id") >= self.state["max_nodes"]) | F.exists("neighbors", lambda x: (x < 0) | (x >= self.state["max_nodes"]))
+        if not every.where(away | F.coalesce(given, mutate.record_fault(self.dims, self.key_cap)).isNotNull()).isEmpty():
             raise PlaneError("a raw write is out of range, of other dims, not finite or has a key that cannot be stored")
+        lowest = F.array(F.slice("neighbors", 1, self.layer0_cap))
+        above = F.transform(F.slice(upper, 1, vectors.MAX_LEVEL), lambda x: F.slice(x, 1, graph.UPPER_CAP))
+        return ops.withColumn("links", F.when(F.col("neighbors").isNotNull(), F.concat(lowest, above))).withColumn("level", F.least("level", F.lit(vectors.MAX_LEVEL))).drop("neighbors", "upper")
+
+    def _in_order(self, ops: DataFrame, now: DataFrame) -> DataFrame:
+        """Writes without what is older than the table: of a late write only a key counts, if that is newer."""
+        state = [c for c in ops.columns if c not in ("node_id", "seq", "key")]
+        held = now.where("seq IS NOT NULL").select("node_id", F.struct("status", "seq", "key_seq", *state).alias("held"))
+        joined = ops.join(held, "node_id", "left")
+        late = F.coalesce(F.col("seq") < F.col("held.seq"), F.lit(False))
+        joined = joined.withColumn("late", late).withColumn("key", F.when(F.coalesce(F.col("seq") >= F.col("held.key_seq"), F.lit(True)), F.col("key")))
+        joined = joined.where(~F.col("late") | F.col("key").isNotNull() & (F.col("held.status") == 1))
+        return joined.select("node_id", "seq", "key", *(F.when(F.col("late"), F.col("held")[c]).otherwise(F.col(c)).alias(c) for c in state))
 
     def _write_raw(self, rows: DataFrame) -> None:
-        coded = self._coded(rows.select("node_id", "key", "status", "embedding", "seq"))
-        segments = self._segment(coded, fresh=False)
+        host = rows.select("node_id", "key", "status", "embedding", "seq", "key_seq", "links", F.struct("code", "scale", "inv_mag", "level").alias("host"))
+        coded = self._coded(host)
+        given = {c: F.when(F.col("host.code").isNotNull(), F.coalesce(F.col("host")[c], F.col(c))).otherwise(F.col(c)) for c in ("code", "scale", "inv_mag")}
+        segments = self._segment(coded.withColumns(given | {"level": F.coalesce(F.col("host.level"), F.col("level"))}), fresh=False)
         written = self.spark.read.schema(NODES).parquet(segments[-1]["path"])
-        top = written.agg(F.max("node_id")).first()[0]
-        if top is not None:
-            self._publish(segments=segments, high_water=max(self.id_high_water, top + 1), entry=self._better_entry(written))
+        top, room = written.agg(F.max("node_id"), F.sum(F.when(F.octet_length("key") > self.key_cap, mutate.key_bytes()))).first()
+        if top is None:
+            return
+        before = self.state["arena_used"]
+        used = before + (room or 0) - self._room(self.nodes().where("status = 1").join(written.select("node_id"), "node_id", "left_semi"))
+        if used > max(self.state["arena_per_node"] * self.state["max_nodes"], before):
+            raise PlaneError(mutate.REASONS["key-arena-full"])
+        self._publish(segments=segments, high_water=max(self.id_high_water, top + 1), entry=self._better_entry(written), arena_used=used)
 
     def clear_nodes(self, ids: DataFrame) -> None:
-        """Mark ids deleted without freeing them, even ids never written."""
-        after = mutate.clear(self.nodes(), ids, self.state["max_nodes"]).join(ids.select("node_id").distinct(), "node_id", "left_semi")
+        """Mark ids deleted without freeing them, even ids never written. Room of long keys is given back."""
+        now = self.nodes()
+        after = mutate.clear(now, ids, self.state["max_nodes"]).join(ids.select("node_id").distinct(), "node_id", "left_semi")
         segments = self._segment(after, fresh=False)
         written = self.spark.read.schema(NODES).parquet(segments[-1]["path"])
         top = written.agg(F.max("node_id")).first()[0]
         if top is not None:
-            self._publish(segments=segments, high_water=max(self.id_high_water, top + 1))
+            room = self._room(now.where("status = 1").join(written.select("node_id"), "node_id", "left_semi"))
+            self._publish(segments=segments, high_water=max(self.id_high_water, top + 1), arena_used=self.state["arena_used"] - room)
 
     def flush(self, watermark: int | None = None) -> None:
         """Publish a watermark over what is written; without one it stays as it is."""
@@ -437,9 +489,10 @@ class Plane:
         metric: str | None = None,
         nprobe: int = 8,
     ) -> DataFrame:
-        """Hits with keys: query_id, rank, node_id, distance, key. ``method``: exact, ivf or graph.
+        """Hits with keys: query_id, rank, node_id, distance, key. ``method``: exact, ivf, graph or links.
 
-        Nodes written since the graph or the cells were built are searched exactly, and the hits
+        ``links`` follows the links of raw writes from the entry point, round by round, without a
+        budget; nodes without links are searched exactly. Nodes written since the graph or the cells were built are searched exactly, and the hits
         merged, so no write is missed. A filtered search of a graph visits ``ef *
         filter_expansion`` nodes at most unless ``visit_budget`` (1 at least) says otherwise.
         """
@@ -455,6 +508,8 @@ class Plane:
         filtered = allowed is not None or predicate is not None or where is not None
         admitted = search.allow(nodes.where("status = 1"), allowed)
         admitted = search.judged(admitted, predicate) if predicate is not None else admitted
+        if method == "links":
+            return self._with_keys(self._by_links(queries, k, ef or 128, admitted if filtered else None))
         if method == "graph":
             if not self.state["edges"]:
                 raise PlaneError("no graph is built")
@@ -483,6 +538,16 @@ class Plane:
             hits = search.top(both, min(k, max(ef, 1)) if ef is not None else k)
         return self._with_keys(hits)
 
+    def _by_links(self, queries: DataFrame, k: int, ef: int, admitted: DataFrame | None) -> DataFrame:
+        nodes = self.nodes()
+        alone = search.knn((nodes.where("status = 1") if admitted is None else admitted).where("links IS NULL"), queries, k)
+        if not self.state["entry"]:
+            return alone
+        start = nodes.where(F.col("node_id") == self.state["entry"][0])
+        hits = graph.beam_rounds(nodes, self.links(), queries, start, k, ef, allowed=admitted)
+        both = hits.select("query_id", "node_id", "distance").unionByName(alone.select("query_id", "node_id", "distance"))
+        return search.top(both.groupBy("query_id", "node_id").agg(F.min("distance").alias("distance")), k)
+
     def _with_keys(self, hits: DataFrame) -> DataFrame:
         return search.gather_keys(hits, self.nodes()).select("query_id", "rank", "node_id", "distance", "key")
 
