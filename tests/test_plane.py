@@ -91,7 +91,7 @@ def test_mirror_keeps_keys_and_the_newest_write(spark, plane):
     ops = "node_id bigint, seq bigint, embedding array<float>, key binary"
     plane.mirror(spark.createDataFrame([(3, 0, axis(0), b"a"), (3, 2, axis(2), None), (3, 1, axis(1), b"b")], ops))
     row = plane.nodes().where("node_id = 3").first()
-    assert (bytes(row.key), row.embedding) == (b"b", axis(2))
+    assert (bytes(row.key), row.embedding, row.level) == (b"b", axis(2), 0)
     plane.mirror(spark.createDataFrame([(3, 9, axis(3), None)], ops))
     assert bytes(plane.nodes().where("node_id = 3").first().key) == b"b"
     plane.clear_nodes(spark.createDataFrame([(4,), (4,), (1000,)], "node_id bigint"))

@@ -395,7 +395,7 @@ class Plane:
             raise PlaneError("a raw write is out of range, of other dims, not finite or has a key that cannot be stored")
         lowest = F.array(F.slice("neighbors", 1, self.layer0_cap))
         above = F.transform(F.slice(upper, 1, vectors.MAX_LEVEL), lambda x: F.slice(x, 1, graph.UPPER_CAP))
-        return ops.withColumn("links", F.when(F.col("neighbors").isNotNull(), F.concat(lowest, above))).withColumn("level", F.least("level", F.lit(vectors.MAX_LEVEL))).drop("neighbors", "upper")
+        return ops.withColumn("links", F.when(F.col("neighbors").isNotNull(), F.concat(lowest, above))).withColumn("level", F.when(F.col("level") > vectors.MAX_LEVEL, vectors.MAX_LEVEL).otherwise(F.col("level"))).drop("neighbors", "upper")
 
     def _in_order(self, ops: DataFrame, now: DataFrame) -> DataFrame:
         """Writes without what is older than the table: of a late write only a key counts, if that is newer."""
