@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecharbor.llm import quality, queries, toxicity
+from vecharbor.llm import common, quality, queries, toxicity
 from vecharbor.llm.common import crc_remainder
 
 LARGER = "/root/testdata/sf0.01"
@@ -54,6 +54,18 @@ def test_a_doc_id_of_many_rows_does_not_crowd_out_others(spark, monkeypatch):
     assert sum("zzz" in " ".join(units) for _, units in bags) == 20 and len(bags) == 21
 
 
+def test_texts_are_ranked_alike_in_any_parts(spark, monkeypatch):
+    """Also with rows that have no doc_id, of which none may be chosen."""
+    rows = [(1, f"text {i}") for i in range(200)] + [(2, "only one")] + [(None, f"no id {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, label int")
+    got = []
+    for parts in (1, 7, 64):
+        monkeypatch.setattr(common, "RANK_PARTS", parts)
+        got.append(sorted(r.text for r in common.labelled_texts(docs, known, ("label = 1", 30), ("label = 0", 5)).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == 31 and "only one" in got[0] and "no id" not in " ".join(got[0])
+
+
 def test_toxicity_learns_from_whole_texts(spark, monkeypatch):
     words = {"w" + "".join(chr(97 + int(d)) for d in str(i)) for i in range(3000)}
     docs = spark.createDataFrame([(0, " ".join(sorted(words)))], "doc_id bigint, text string")

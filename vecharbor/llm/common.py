@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of about this many bytes of text.
 SLICE_BYTES = 8 << 20
+#: Parts in which the texts of one doc_id are ranked.
+RANK_PARTS = 64
 #: Temporary folders of applications without spark.checkpoint.dir.
 _OWN: dict[str, str] = {}
 
@@ -137,13 +139,15 @@ def labelled_texts(docs: DataFrame, known: DataFrame, *bounds: tuple[str, int])
     ``known`` has one (doc_id, label) for each doc_id. Repeated rows count once. The first text
     of each doc_id comes before the second of any, then the hash of doc_id decides; so no doc_id
     crowds out others, and all its texts are taken where the bound leaves room. Rows are chosen
-    by hashes alone; texts are read after that.
+    by hashes alone; texts are read after that. A doc_id's texts are ranked in parts first, so
+    that only what may be chosen meets in one task. Rows without a doc_id have no label.
     """
     most = max(n for _, n in bounds)
-    with_hash = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("h")).alias("place")
-    texts = with_hash.select("doc_id", "h").distinct().select("*", place).where(F.col("place") <= most)
-    rows = known.join(texts, "doc_id")
+    with_hash = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = with_hash.select("doc_id", "h").distinct().withColumn("part", F.pmod("h", F.lit(RANK_PARTS)))
+    for keys in (("doc_id", "part"), ("doc_id",)):
+        texts = texts.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("place") <= most)
+    rows = known.join(texts.drop("part"), "doc_id")
     chosen = reduce(DataFrame.unionByName, (rows.where(c).orderBy("place", F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in bounds))
     return with_hash.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("text", "label")
 
