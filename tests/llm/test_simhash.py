@@ -64,6 +64,16 @@ def test_large_groups_are_dealt_again_without_losing_links(spark):
     assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(values)) for j in range(0, i, 7))
 
 
+def test_hubs_and_chains_find_their_least_node(spark):
+    """A hub with very many leaves, a hub that is the greatest of its component, and a chain."""
+    hub = [(0, i) for i in range(1, 3000)]
+    crown = [(i, 9_999) for i in range(4_000, 6_000)]
+    chain = [(i + 1, i) for i in range(20_000, 20_040)]
+    got = {r.u: r.root for r in simhash.star_components(spark.createDataFrame(hub + crown + chain + [(-5, -5)], "a bigint, b bigint")).collect()}
+    want = {i: 0 for i in range(1, 3000)} | {i: 4_000 for i in [*range(4_001, 6_000), 9_999]} | {i: 20_000 for i in range(20_001, 20_041)}
+    assert got == want
+
+
 def test_odd_rows(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

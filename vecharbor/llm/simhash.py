@@ -214,16 +214,25 @@ def _spanned(rows: DataFrame, depth: int) -> DataFrame:
     return rows.repartition("gid").sortWithinPartitions("gid").mapInArrow(run, "a bigint, b bigint")
 
 
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """``rows`` (u, v) with ``m`` of their u, as ``least`` (u, m) has it; the rows of a u are dealt over parts."""
+    parts = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.lit(ROOT_SALTS - 1))).alias("salt")).repartition("u", "salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(ROOT_SALTS)).cast("int")).join(parts, ["u", "salt"]).drop("salt")
+
+
 def star_components(edges: DataFrame) -> DataFrame:
-    """(u, root) for each node ``u`` of ``edges`` (a, b) other than the least of its component."""
+    """(u, root) for each node ``u`` of ``edges`` (a, b) other than the least of its component.
+
+    A node of very many edges is joined in parts.
+    """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, seen = materialize(e, "stars"), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = _with_least(large, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(small.distinct(), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
