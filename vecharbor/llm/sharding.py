@@ -52,6 +52,9 @@ def placed(df: DataFrame, *keys: str, shards: int | list[str] = SHARDS, slots: i
     """The keys of each row with its slot and shard number; no shuffle.
 
     Rows of equal keys go to one shard; name further key columns to spread a frequent one.
+    Null keys count as empty ones, keys of any length are hashed whole, repeated rows give repeated
+    rows, an empty table none. Columns other than the keys are not read; keys may not be called
+    slot or shard.
     """
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
     owners = table(names, slots)
