@@ -1,6 +1,7 @@
 import pytest
 from oracle import same
 
+from vecharbor.operators import search
 from vecharbor.plans import catalogue
 
 
@@ -14,6 +15,27 @@ def test_gives_rows(spark, sf_dir, name):
     assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
 
 
+#: Queries that ask with as many vectors as there are nodes.
+ALL_PAIRS = ["knn_graph_edges"]
+
+
+@pytest.mark.parametrize("name", ALL_PAIRS)
+def test_all_pairs_go_by_blocks_of_nodes(spark, sf_dir, name, monkeypatch):
+    used, real = [], search._by_nodes
+
+    def seen(nodes, queries, k, metric, block_bytes):
+        parts = real(nodes, queries, k, metric, 200 * 64 * 8)
+        used.append(parts is not None)
+        return parts
+
+    want = sorted(catalogue.QUERIES[name](spark, sf_dir).collect())
+    monkeypatch.setattr(search, "_by_nodes", seen)
+    if name in catalogue.ORACLE_SQL:
+        same(spark, sf_dir, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
+    assert sorted(catalogue.QUERIES[name](spark, sf_dir).collect()) == want
+    assert used and all(used)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -333,6 +334,43 @@ def test_many_equal_vectors_tie_by_id(spark):
     assert [r.node_id for r in got] == [0, 1, 2, 3]
 
 
+def test_memory_of_a_product_is_bounded():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(12_000, 8))
+    x[:100] = x[7]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(len(x))
+    search.nearest(x[:2], x[:64], ids[:64], 3)
+    tracemalloc.start()
+    q, d, n = search.nearest(x, x, ids, 17)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # All distances at once would be 1,152 MB.
+    for i in (0, 99, 100, 5_000, 11_999):
+        distance = 1 - (x[i] * x).sum(axis=1)
+        order = np.lexsort((ids, distance))[:17]
+        assert n[q == i].tolist() == ids[order].tolist() and d[q == i] == pytest.approx(distance[order])
+
+
+def test_nearest_puts_what_is_not_a_number_last():
+    x = np.array([[1.0, 0.0], [np.nan, 0.0], [0.0, 1.0], [np.nan, 1.0]])
+    q, d, n = search.nearest(x[:2], x, np.array([4, 3, 2, 1]), 3)
+    assert n.tolist() == [4, 2, 1, 1, 2, 3] and np.isnan(d[2:]).all()
+
+
+@pytest.mark.parametrize("metric", ["exact", "int8", "int16"])
+def test_many_queries_go_to_blocks_of_nodes(spark, mixture, metric):
+    nodes = sources.nodes_of(mixture)
+    queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
+    for among, way in ((nodes, True), (nodes.unionByName(nodes.withColumn("node_id", F.col("node_id") + 1000)), False)):
+        stored = search.encoded(among, metric) if metric != "exact" else among
+        assert (search._by_nodes(stored, queries, 5, metric, 90 * 16 * 8) is not None) == way
+        want = search.knn(among, queries, 5, metric=metric).drop("distance").collect()
+        assert sorted(search.knn(among, queries, 5, metric=metric, block_bytes=90 * 16 * 8).drop("distance").collect()) == sorted(want)
+    blocks = list(search._node_blocks(search.live(nodes), "exact", 90 * 16 * 8))
+    assert [len(ids) for ids, _ in blocks] == [90, 90, 90, 90, 40]
+
+
 def test_codes_round_half_away_from_zero(spark):
     v = spark.createDataFrame([(0, [127.0, 2.5, -2.5, 0.5, -0.49])], "node_id bigint, embedding array<float>")
     assert search.encoded(v, "int8").first().code == [127, 3, -3, 1, 0]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.codec import inverse_magnitude, list_matrix
-from .search import HITS, QUERY_BLOCK, _best, _query_blocks, live, node_side, query_side, top
+from .search import HELD, HITS, QUERY_BLOCK, _best, _query_blocks, live, nearest, node_side, query_side, top
 
 #: Rows of the sample on which centroids are fitted.
 SAMPLE = 50_000
@@ -62,7 +62,7 @@ def search(nodes: DataFrame, queries: DataFrame, centre: np.ndarray, k: int, npr
     columns = ["node_id", "cell", *(["embedding"] if metric == "exact" else ["code", "scale", "inv_mag"])]
     spark = nodes.sparkSession
     out = None
-    for ids, block in _query_blocks(queries, block_bytes):
+    for ids, block in _query_blocks(queries, block_bytes, max(1, HELD // max(k, 1))):
         near = unit(block) @ centre.T
         probes = np.argpartition(-near, min(nprobe, near.shape[1]) - 1, axis=1)[:, :nprobe]
         by_cell: dict[int, np.ndarray] = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
@@ -81,12 +81,8 @@ def search(nodes: DataFrame, queries: DataFrame, centre: np.ndarray, k: int, npr
                     if asked is None:
                         continue
                     rows = np.flatnonzero(cell == c)
-                    distance = 1 - side[asked] @ stored[rows].T
-                    if len(rows) > k:
-                        q, n = np.nonzero(distance <= np.partition(distance, k - 1, axis=1)[:, k - 1 : k])
-                    else:
-                        q, n = (x.ravel() for x in np.indices(distance.shape))
-                    new = (asked[q], distance[q, n], node[rows[n]])
+                    q, d, n = nearest(side[asked], stored[rows], node[rows], k)
+                    new = (asked[q], d, n)
                     held = _best(*(new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))), k)
             if held is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[2]), pa.array(held[1])], names=["query_id", "node_id", "distance"])
