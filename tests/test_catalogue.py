@@ -16,7 +16,7 @@ def test_gives_rows(spark, sf_dir, name):
 
 
 #: Queries that ask with as many vectors as there are nodes.
-ALL_PAIRS = ["knn_graph_edges", "degree_report"]
+ALL_PAIRS = ["knn_graph_edges", "degree_report", "knn_self_query"]
 
 
 @pytest.mark.parametrize("name", ALL_PAIRS)
