@@ -16,7 +16,7 @@ def test_gives_rows(spark, sf_dir, name):
 
 
 #: Queries that ask with as many vectors as there are nodes.
-ALL_PAIRS = ["knn_graph_edges", "degree_report", "knn_self_query", "adjacency_expand_1hop", "compact_edges", "remove_edges", "truncate_edges", "visited_antijoin_2hop"]
+ALL_PAIRS = ["knn_graph_edges", "degree_report", "knn_self_query", "adjacency_expand_1hop", "compact_edges", "remove_edges", "truncate_edges", "visited_antijoin_2hop", "reverse_edges_capped"]
 
 
 @pytest.mark.parametrize("name", ALL_PAIRS)
