@@ -36,6 +36,19 @@ def test_all_pairs_go_by_blocks_of_nodes(spark, sf_dir, name, monkeypatch):
     assert used and all(used)
 
 
+@pytest.mark.parametrize("name", ["routing_selected_graph"])
+def test_choices_stream_the_sources(spark, sf_dir, name):
+    """No call of Python a node; lists cut by the ends of batches are whole."""
+    chosen = catalogue.QUERIES[name](spark, sf_dir)
+    assert "InPandas" not in chosen._jdf.queryExecution().toString()
+    want = sorted(chosen.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "45")
+    try:
+        assert sorted(catalogue.QUERIES[name](spark, sf_dir).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 

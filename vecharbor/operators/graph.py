@@ -10,17 +10,18 @@ search serve as the oracle-checked path.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.codec import inverse_magnitude
-from .search import HITS, QUERY_BLOCK, _query_blocks, knn, live, top
+from .search import HELD, HITS, QUERY_BLOCK, _query_blocks, knn, live, top
 
 # Fixed values of the graph.
 M = 16
@@ -33,6 +34,8 @@ FILTER_EXPANSION = 24
 #: Nodes of a shard, and distances that are held at once while one is built.
 SHARD_ROWS = 20_000
 DISTANCES = 1 << 23
+#: Sources whose lists are sent back from Python at once.
+SOURCES = 512
 
 EDGES = "level int, src bigint, pos int, dst bigint"
 
@@ -306,6 +309,49 @@ def _shard_hits(left: pd.DataFrame, right: pd.DataFrame, query_ids: np.ndarray,
     return pd.DataFrame(rows, columns=["query_id", "node_id", "distance"])
 
 
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one source at a time, of batches that are sorted by source."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        src = batch.column("src").to_numpy()
+        ends = [*(np.flatnonzero(np.diff(src)) + 1).tolist(), len(src)]
+        for at, end in zip([0, *ends], ends, strict=False):
+            if at == end:
+                continue
+            if held and src[at] != last:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = src[at]
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _by_source(rows: DataFrame, choose: Callable[[pa.RecordBatch], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+    """Columns that ``choose`` gives of each source's rows, which come nearest first.
+
+    Sources are streamed through a task in order, so that it holds one source's rows and a batch.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, ...]] = []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=names)
+
+        for own in _lists(batches):
+            made.append(choose(own))
+            if len(made) == SOURCES:
+                yield packed()
+                made = []
+        if made:
+            yield packed()
+
+    return rows.repartition("src").sortWithinPartitions("src", "distance", "dst").mapInArrow(run, schema)
+
+
 def pruned(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
     """Neighbour lists (src, pos, dst, distance) cut to ``cap`` by coverage."""
     vector = nodes.select(F.col("node_id").alias("dst"), "embedding")
@@ -326,21 +372,34 @@ def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFra
 
     Links that some node's choice drops are gone from both their ends' lists.
     """
-    around = edges.select(F.col("src").alias("dst"), F.col("dst").alias("via"), F.col("distance").alias("hop"))
-    lists = around.groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("hop", "via"))).alias("around"))
+    around = edges.groupBy(F.col("src").alias("dst")).agg(F.array_sort(F.collect_list(F.struct(F.col("distance").alias("hop"), F.col("dst").alias("via")))).alias("around"))
+    lists = around.select("dst", F.col("around.hop").alias("hop"), F.col("around.via").alias("via"))
     rows = edges.select("src", "dst", "distance").join(lists, "dst", "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "dst"]).reset_index(drop=True)
-        at = {int(x): i for i, x in enumerate(pdf["dst"])}
-        around = {i: [(place, at[v["via"]], v["hop"]) for place, v in enumerate(a if a is not None else ()) if v["via"] in at] for i, a in enumerate(pdf["around"])}
-        kept, drop = route_choice(pdf["distance"].to_numpy(), around, m, r)
-        dst, distance = pdf["dst"].to_numpy(), pdf["distance"].to_numpy()
-        out = [(pdf["src"].iloc[0], int(dst[i]), float(distance[i]), False) for i in kept]
-        out += [x for i, j in drop for x in ((int(dst[i]), int(dst[j]), None, True), (int(dst[j]), int(dst[i]), None, True))]
-        return pd.DataFrame(out, columns=["src", "dst", "distance", "gone"])
-
-    chosen = rows.groupBy("src").applyInPandas(run, "src bigint, dst bigint, distance double, gone boolean")
+    def choose(own: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        dst, near = own.column("dst").to_numpy(), own.column("distance").to_numpy()
+        many = own.column("via").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        via, hop = (own.column(c).flatten().to_numpy() for c in ("via", "hop"))
+        i, place = np.repeat(np.arange(len(dst)), many), np.arange(len(via)) - np.repeat(np.cumsum(many) - many, many)
+        order = np.argsort(dst)
+        j = order[np.minimum(np.searchsorted(dst, via, sorter=order), len(dst) - 1)]
+        # Only candidates before i can have been chosen before it.
+        inner = np.flatnonzero((dst[j] == via) & (j < i))
+        around: dict[int, list[tuple[int, int, float]]] = {}
+        for a, *link in zip(*(x[inner].tolist() for x in (i, place, j, hop)), strict=True):
+            around.setdefault(a, []).append(tuple(link))
+        kept, drop = route_choice(near, around, m, r)
+        ends = np.array(drop, np.int64).reshape(-1, 2)
+        ends = np.concatenate([ends, ends[:, ::-1]])
+        src = own.column("src").to_numpy()
+        return (
+            np.concatenate([src[kept], dst[ends[:, 0]]]),
+            np.concatenate([dst[kept], dst[ends[:, 1]]]),
+            np.concatenate([near[kept], np.full(len(ends), np.inf)]),
+            np.arange(len(kept) + len(ends)) >= len(kept),
+        )
+
+    chosen = _by_source(rows, choose, "src bigint, dst bigint, distance double, gone boolean")
     both = chosen.groupBy("src", "dst").agg(F.min("distance").alias("distance"), F.max("gone").alias("gone")).where("NOT gone")
     pos = F.row_number().over(Window.partitionBy("src").orderBy("distance", "dst"))
     return both.select("src", pos.alias("pos"), "dst", "distance")
