@@ -36,7 +36,7 @@ def test_all_pairs_go_by_blocks_of_nodes(spark, sf_dir, name, monkeypatch):
     assert used and all(used)
 
 
-@pytest.mark.parametrize("name", ["routing_selected_graph"])
+@pytest.mark.parametrize("name", ["coverage_pruned_graph", "routing_selected_graph"])
 def test_choices_stream_the_sources(spark, sf_dir, name):
     """No call of Python a node; lists cut by the ends of batches are whole."""
     chosen = catalogue.QUERIES[name](spark, sf_dir)

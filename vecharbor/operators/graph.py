@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..functions.codec import inverse_magnitude
+from ..functions.codec import inverse_magnitude, list_matrix
 from .search import HELD, HITS, QUERY_BLOCK, _query_blocks, knn, live, top
 
 # Fixed values of the graph.
@@ -118,11 +118,15 @@ def coverage_choice(near: np.ndarray, pair: np.ndarray, cap: int, window: int =
     ``window`` before these is nearer than the base; failing that, the farthest of all.
     """
     kept = list(range(len(near)))
+    if len(kept) <= cap:
+        return kept
+    # Bit k of number e: whether k is nearer to e than the base.
+    nearer = [int.from_bytes(bits.tobytes(), "little") for bits in np.packbits(pair < near[:, None], axis=1, bitorder="little")]
     while len(kept) > cap:
         tail = max(len(kept) - window, 0)
-        head = kept[: min(window, tail)]
+        head = sum(1 << k for k in kept[: min(window, tail)])
         for e in reversed(kept[tail:]):
-            if any(pair[e, k] < near[e] for k in head):
+            if nearer[e] & head:
                 kept.remove(e)
                 break
         else:
@@ -357,14 +361,14 @@ def pruned(edges: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
     vector = nodes.select(F.col("node_id").alias("dst"), "embedding")
     rows = edges.select("src", "dst", "distance").join(vector, "dst")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "dst"]).reset_index(drop=True)
-        x = np.array(pdf["embedding"].tolist(), np.float64)
+    def choose(own: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        x = list_matrix(own.column("embedding"), np.float64)
         unit = x * inverse_magnitude(x)[:, None]
-        kept = pdf.iloc[coverage_choice(pdf["distance"].to_numpy(), 1 - unit @ unit.T, cap)]
-        return pd.DataFrame({"src": kept["src"], "pos": range(1, len(kept) + 1), "dst": kept["dst"], "distance": kept["distance"]})
+        near = own.column("distance").to_numpy()
+        kept = np.array(coverage_choice(near, 1 - unit @ unit.T, cap), np.int64)
+        return own.column("src").to_numpy()[kept], np.arange(1, len(kept) + 1, dtype=np.int32), own.column("dst").to_numpy()[kept], near[kept]
 
-    return rows.groupBy("src").applyInPandas(run, "src bigint, pos int, dst bigint, distance double")
+    return _by_source(rows, choose, "src bigint, pos int, dst bigint, distance double")
 
 
 def routed(edges: DataFrame, m: int = M, r: float = OPTIMIZE_ROUTING) -> DataFrame:
