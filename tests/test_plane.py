@@ -476,6 +476,33 @@ def test_beam_stops_at_ties_and_budget():
     assert len(graph.beam(lambda i: float(99 - i), lambda i: links[i], [0], 4, budget=3)) <= 4
 
 
+def test_many_queries_of_a_graph_go_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    nodes = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=6)]) for i in range(120)], "node_id bigint, embedding array<float>")
+    queries = nodes.select(F.col("node_id").alias("query_id"), "embedding")
+    edges = graph.build(nodes, 2).cache()
+    want = sorted(graph.search(nodes, edges, queries, 5, 16, 2).collect())
+    sizes, real = [], graph._query_blocks
+
+    def seen(*args):
+        for ids, block in real(*args):
+            sizes.append(len(ids))
+            yield ids, block
+
+    monkeypatch.setattr(graph, "_query_blocks", seen)
+    monkeypatch.setattr(graph, "BEAM_QUERIES", 50)
+    assert sorted(graph.search(nodes, edges, queries, 5, 16, 2).collect()) == want
+    assert sorted(sizes) == [20, 50, 50]
+
+
+def test_beam_takes_distances_of_many_nodes_at_once():
+    links = {i: [j % 60 for j in (i + 1, i + 7, i + 1, i - 1)] for i in range(60)}
+    far = np.random.default_rng(2).random(60).tolist()
+    for budget in (None, 9):
+        want = graph.beam(lambda i: far[i], links.__getitem__, [0, 3], 5, lambda i: i % 4, budget)
+        assert graph.beam(None, links.__getitem__, [0, 3], 5, lambda i: i % 4, budget, lambda rows: [far[i] for i in rows]) == want
+
+
 def test_stream_batches_apply_once(spark, tmp_path, plane):
     rows = spark.createDataFrame([(1, 0, axis(1), b"a")], "node_id bigint, seq bigint, embedding array<float>, key binary")
     assert apply_batch(plane, rows, 0) and not apply_batch(plane, rows, 0)

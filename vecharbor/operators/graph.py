@@ -34,6 +34,8 @@ FILTER_EXPANSION = 24
 #: Nodes of a shard, and distances that are held at once while one is built.
 SHARD_ROWS = 20_000
 DISTANCES = 1 << 23
+#: Queries that one task asks of a shard; more of them are further tasks.
+BEAM_QUERIES = 8192
 #: Sources whose lists are sent back from Python at once.
 SOURCES = 512
 
@@ -223,15 +225,16 @@ def build(nodes: DataFrame, shards: int, *, m: int = M, cap: int = 64, r: float
     return rows.groupBy("shard").applyInPandas(run, f"shard int, {EDGES}")
 
 
-def beam(distance, neighbours, start: list[int], width: int, admitted=None, budget: int | None = None) -> list[tuple[float, int]]:
+def beam(distance, neighbours, start: list[int], width: int, admitted=None, budget: int | None = None, distances=None) -> list[tuple[float, int]]:
     """Best-first search of one layer: ascending (distance, node), at most ``width``.
 
     ``admitted`` says which nodes may be results; the others still lead on. A node joins only if
     it is strictly nearer than the worst of a full result. ``budget`` bounds visits.
+    ``distances``, if given, has the distances of many nodes at once.
     """
+    distances = distances or (lambda rows: [distance(j) for j in rows])
     seen, queue, best = set(start), [], []
-    for s in start:
-        d = distance(s)
+    for s, d in zip(start, distances(start), strict=True):
         heapq.heappush(queue, (d, s))
         if admitted is None or admitted(s):
             heapq.heappush(best, (-d, -s))
@@ -240,12 +243,12 @@ def beam(distance, neighbours, start: list[int], width: int, admitted=None, budg
         d, node = heapq.heappop(queue)
         if len(best) >= width and d > -best[0][0] or budget is not None and visits >= budget:
             break
-        for j in neighbours(node):
-            if j in seen:
-                continue
-            seen.add(j)
-            visits += 1
-            dj = distance(j)
+        new = [j for j in dict.fromkeys(neighbours(node)) if j not in seen]
+        if not new:
+            continue
+        seen.update(new)
+        visits += len(new)
+        for j, dj in zip(new, distances(new), strict=True):
             if len(best) < width or dj < -best[0][0]:
                 heapq.heappush(queue, (dj, j))
                 if admitted is None or admitted(j):
@@ -269,7 +272,7 @@ def search(
     if allowed is not None:
         side = side.join(allowed.select("node_id", F.lit(True).alias("may")).distinct(), "node_id", "left").withColumn("ok", F.col("ok") & F.coalesce("may", F.lit(False))).drop("may")
     out = None
-    for ids, block in _query_blocks(queries, block_bytes):
+    for ids, block in _query_blocks(queries, block_bytes, max(1, min(BEAM_QUERIES, HELD // max(k, 1)))):
         shared = nodes.sparkSession.sparkContext.broadcast((ids, block))
 
         part = side.groupBy("shard").cogroup(edges.groupBy("shard")).applyInPandas(_shard_search(shared, k, ef, budget, entry), HITS)
@@ -289,12 +292,15 @@ def _shard_hits(left: pd.DataFrame, right: pd.DataFrame, query_ids: np.ndarray,
         x = np.array(left["embedding"].tolist(), np.float64)
         unit = x * inverse_magnitude(x)[:, None]
         ok = left["ok"].to_numpy()
-        right = right.sort_values(["level", "src", "pos"])
+        right = right[right["src"].isin(ids) & right["dst"].isin(ids)].sort_values(["level", "src", "pos"])
         at = dict(zip(ids.tolist(), range(len(ids)), strict=True))
         layers: dict[int, dict[int, list[int]]] = {}
-        for lv, src, dst in zip(right["level"], right["src"], right["dst"], strict=True):
-            if src in at and dst in at:
-                layers.setdefault(int(lv), {}).setdefault(at[src], []).append(at[dst])
+        level = right["level"].to_numpy()
+        src, dst = (np.searchsorted(ids, right[c].to_numpy()) for c in ("src", "dst"))
+        ends = [*(np.flatnonzero((np.diff(level) != 0) | (np.diff(src) != 0)) + 1).tolist(), len(src)]
+        for i, end in zip([0, *ends], ends, strict=False):
+            if i < end:
+                layers.setdefault(int(level[i]), {})[int(src[i])] = dst[i:end].tolist()
         height = max(layers, default=0)
         first = layers.get(height, {})
         begin = at[entry] if entry in at and at[entry] in first else min(first, default=0)
@@ -302,13 +308,13 @@ def _shard_hits(left: pd.DataFrame, right: pd.DataFrame, query_ids: np.ndarray,
         asked = block.astype(np.float64) * inverse_magnitude(block)[:, None]
         for query_id, q in zip(query_ids.tolist(), asked, strict=True):
 
-            def distance(i: int, q=q) -> float:
-                return float(1 - unit[i] @ q)
+            def distances(rows: list[int], q=q) -> list[float]:
+                return (1 - (unit[rows] * q).sum(axis=1)).tolist()
 
             start = [begin]
             for lv in range(height, 0, -1):
-                start = [beam(distance, lambda i, g=layers[lv]: g.get(i, ()), start, DESCENT_WIDTH)[0][1]]
-            found = beam(distance, lambda i: base.get(i, ()), start, max(ef, 1), lambda i: bool(ok[i]), budget)
+                start = [beam(None, lambda i, g=layers[lv]: g.get(i, ()), start, DESCENT_WIDTH, distances=distances)[0][1]]
+            found = beam(None, lambda i: base.get(i, ()), start, max(ef, 1), lambda i: bool(ok[i]), budget, distances)
             rows += [(query_id, int(ids[i]), d) for d, i in found[:k]]
     return pd.DataFrame(rows, columns=["query_id", "node_id", "distance"])
 

@@ -28,10 +28,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def fit_cells(nodes: DataFrame, cells: int, sample: int = SAMPLE, rounds: int = 12) -> np.ndarray:
     """Unit centroids by spherical k-means on at most ``sample`` nodes, taken by hash of the id."""
-    rows = live(nodes).orderBy(F.xxhash64("node_id"), "node_id").select("embedding").limit(sample).collect()
+    first = live(nodes).orderBy(F.xxhash64("node_id"), "node_id").select("embedding").limit(sample)
+    rows = [np.array(r[0], np.float32) for r in first.toLocalIterator()]
     if not rows:
         return np.zeros((0, 0))
-    x = unit(np.array([r[0] for r in rows], np.float32))
+    x = unit(np.array(rows))
     cells = min(cells, len(x))
     centre = x[:: max(1, len(x) // cells)][:cells].copy()
     for _ in range(rounds):
